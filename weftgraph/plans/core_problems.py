@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftgraph.operators import consolidate as C
 from weftgraph.operators import spikes, tree_aggregate
 from weftgraph.operators.latest import current_rows
+from weftgraph.operators.unit_consensus import medians_in_nm
 from weftgraph.session import table
 
 ENERGY = spikes.Rule(zero_is_normal=True)
@@ -23,6 +24,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return energies.unionByName(fractions.distinct())
 
 
+def p2_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every build with its median in nm and the unit that it was recorded in."""
+    return medians_in_nm(table(spark, sf_dir, "scale_inference"), table(spark, sf_dir, "scale_candidates"), table(spark, sf_dir, "source_notes"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_medians(spark, sf_dir).where("unit <> 'nm'").select("build_id", "unit")
+
+
 def _p5_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = table(spark, sf_dir, "frame_values")
     current = current_rows(values, table(spark, sf_dir, "edges"), ["n_atom_pairs"])
@@ -56,4 +66,4 @@ def p6_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("cls", "pack").agg(F.sum("part").alias("bodies"), F.sum(F.col("length") + 1).alias("bytes"))
 
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p5_totals": p5_totals, "p6_found": p6_found, "p6_packs": p6_packs}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_medians": p2_medians, "p5_found": p5_found, "p5_totals": p5_totals, "p6_found": p6_found, "p6_packs": p6_packs}
