@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import quantiles as Q
+from weftgraph.llm.sentences import sentences
 from weftgraph.llm.topn import top_rows_of_vertices
 from weftgraph.operators.latest import current_rows
 from weftgraph.session import table
@@ -52,4 +53,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_rows_of_vertices(_current(spark, sf_dir, ["coulomb"]), 3).select("build_id", "vertex_id", "frame", "edge_key")
 
 
-QUERIES = {"p3_found": p3_found, "p3_quantiles": p3_quantiles, "p4_found": p4_found}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_quantiles": p3_quantiles, "p4_found": p4_found, "p9_found": p9_found}
