@@ -43,6 +43,29 @@ def _decoded(body: str, encoding: str, charset: str | None) -> str:
     return text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text
 
 
+def _pieces(body: str, boundary: str) -> list[str]:
+    """The parts between the delimiter lines of a multipart body; without a closing line the last part runs to the end."""
+    text, mark = "\n" + body, f"\n--{boundary}"
+    out: list[str] = []
+    begin, at = -1, text.find(mark)
+    while at >= 0:
+        end = at + len(mark)
+        closing = text.startswith("--", end)
+        line_end = text.find("\n", end)
+        line_end = len(text) if line_end < 0 else line_end
+        if text[end + 2 * closing : line_end].strip(" \t"):
+            at = text.find(mark, at + 1)  # a longer boundary, of a part inside
+            continue
+        if begin >= 0:
+            out.append(text[begin:at])
+        if closing:
+            return out
+        begin, at = line_end + 1, text.find(mark, line_end)
+    if begin >= 0:
+        out.append(text[begin:])
+    return out
+
+
 def _walk(text: str, depth: int, out: list[Part]) -> None:
     if text.startswith("\n"):
         head, body = "", text[1:]
@@ -53,12 +76,8 @@ def _walk(text: str, depth: int, out: list[Part]) -> None:
     kind = kind_field.split(";", 1)[0].strip().lower() or "text/plain"
     boundary = _param(kind_field, "boundary")
     if kind.startswith("multipart/") and boundary and depth < MAX_DEPTH:
-        pieces = re.split(rf"(?m)^--{re.escape(boundary)}(--)?[ \t]*(?:\n|$)", body)
-        # the preamble, then for every delimiter line its closing mark (or None) and what follows
-        for closing, piece in zip(pieces[1::2], pieces[2::2], strict=True):
-            if closing:
-                break
-            _walk(piece[:-1] if piece.endswith("\n") else piece, depth + 1, out)
+        for piece in _pieces(body, boundary):
+            _walk(piece, depth + 1, out)
         return
     attached = fields.get("content-disposition", "").strip().lower().startswith("attachment")
     if kind.startswith("text/"):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import quantiles as Q
+from weftgraph.llm.leaks import leaked_items
 from weftgraph.llm.sentences import sentences
 from weftgraph.llm.topn import top_rows_of_vertices
 from weftgraph.operators.latest import current_rows
@@ -53,8 +54,17 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_rows_of_vertices(_current(spark, sf_dir, ["coulomb"]), 3).select("build_id", "vertex_id", "frame", "edge_key")
 
 
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every affected message with the items it holds and the share of each item."""
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_shares(spark, sf_dir).select("doc_id", "item_id")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_quantiles": p3_quantiles, "p4_found": p4_found, "p9_found": p9_found}
+QUERIES = {"p3_found": p3_found, "p3_quantiles": p3_quantiles, "p4_found": p4_found, "p8_found": p8_found, "p8_shares": p8_shares, "p9_found": p9_found}
