@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm import quantiles as Q
 from weftgraph.llm.leaks import leaked_items
+from weftgraph.llm.packing import CAPACITY, pack_documents
 from weftgraph.llm.sentences import sentences
 from weftgraph.llm.topn import top_rows_of_vertices
 from weftgraph.operators.latest import current_rows
@@ -54,6 +55,18 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_rows_of_vertices(_current(spark, sf_dir, ["coulomb"]), 3).select("build_id", "vertex_id", "frame", "edge_key")
 
 
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every container with its number of pieces and its fill."""
+    packed = pack_documents(table(spark, sf_dir, "documents"))
+    return packed.groupBy("container").agg(F.count(F.lit(1)).alias("pieces"), F.sum("size").alias("bytes")).withColumn("fill", F.col("bytes") / CAPACITY)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that the packing holds in several pieces."""
+    packed = pack_documents(table(spark, sf_dir, "documents"))
+    return packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+
+
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every affected message with the items it holds and the share of each item."""
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -67,4 +80,4 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_quantiles": p3_quantiles, "p4_found": p4_found, "p8_found": p8_found, "p8_shares": p8_shares, "p9_found": p9_found}
+QUERIES = {"p3_found": p3_found, "p3_quantiles": p3_quantiles, "p4_found": p4_found, "p7_found": p7_found, "p7_containers": p7_containers, "p8_found": p8_found, "p8_shares": p8_shares, "p9_found": p9_found}
