@@ -1,0 +1,71 @@
+"""Tab-separated tables: written with fixed number formats, read with types told from their texts."""
+
+from __future__ import annotations
+
+import glob
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Texts that stand for no value.
+NULLS = ("", "None", "none", "NaN", "nan")
+
+
+def format_numbers(df: DataFrame, digits: int = 15) -> DataFrame:
+    """All columns as text: numbers with so many significant digits, nan where not finite, empty where null."""
+    out = []
+    for c, t in df.dtypes:
+        if t in ("double", "float"):
+            x = F.col(c).cast("double")
+            good = ~F.isnan(x) & (F.abs(x) < float("inf"))
+            # as many digits as printf's %g gives, without its trailing zeros
+            text = F.regexp_replace(F.format_string(f"%.{digits}g", x), r"(\.\d*?)0+(?=$|e)", "$1")
+            text = F.regexp_replace(text, r"\.(?=$|e)", "")
+            out.append(F.when(good, text).when(x.isNotNull(), "nan").otherwise("").alias(c))
+        else:
+            out.append(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c))
+    return df.select(*out)
+
+
+def write_tsv(df: DataFrame, path: str, digits: int = 15, single_file: bool = True) -> None:
+    """A folder of tab-separated text with a header. Reports are small, so they go to one file unless told otherwise."""
+    text = format_numbers(df, digits)
+    (text.coalesce(1) if single_file else text).write.mode("overwrite").option("sep", "\t").option("header", True).option("emptyValue", "").csv(path)
+
+
+def read_tsv(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Columns become bigint if all their texts are integers (double if some are missing), double if all are numbers, boolean if all
+    are true or false and none is missing, else remain text as they stand. One pass over the data tells all types."""
+    raw = spark.read.option("sep", "\t").option("header", True).option("nullValue", "\x00").option("emptyValue", "").csv(path)
+    tests = []
+    for c in raw.columns:
+        v = F.trim(F.coalesce(F.col(c), F.lit("")))
+        there = ~F.coalesce(F.col(c), F.lit("")).isin(*NULLS)
+        tests += [
+            F.count_if(there).alias(f"{c}\x00n"),
+            F.count_if(~there).alias(f"{c}\x00null"),
+            F.count_if(there & v.rlike(r"^[-+]?\d{1,18}$")).alias(f"{c}\x00int"),
+            F.count_if(there & (v.try_cast("double").isNotNull() | v.rlike(r"(?i)^[-+]?(inf|infinity)$"))).alias(f"{c}\x00num"),
+            F.count_if(there & F.lower(v).isin("true", "false")).alias(f"{c}\x00bool"),
+        ]
+    stats = raw.agg(*tests).first().asDict() if raw.columns else {}
+    out = []
+    for c in raw.columns:
+        n, null, ints, nums, bools = (stats[f"{c}\x00{k}"] for k in ("n", "null", "int", "num", "bool"))
+        v = F.trim(F.col(c))
+        if n and ints == n:
+            out.append((v.try_cast("bigint") if not null else F.coalesce(v.try_cast("double"), F.lit(float("nan")))).alias(c))
+        elif n and nums == n:
+            out.append(F.coalesce(v.try_cast("double"), F.lit(float("nan"))).alias(c))
+        elif n and bools == n and not null:
+            out.append(v.cast("boolean").alias(c))
+        else:
+            out.append(F.coalesce(F.col(c), F.lit("")).alias(c))
+    return raw.select(*out)
+
+
+def read_tables(spark: SparkSession, paths: str | list[str]) -> dict[str, DataFrame]:
+    """Tables by the stem of their name: one path, a pattern or several paths."""
+    names = sorted(glob.glob(paths)) if isinstance(paths, str) else list(paths)
+    return {Path(p).stem: read_tsv(spark, p) for p in names}
