@@ -62,7 +62,7 @@ def shortest_distances(graph: DataFrame, sources: DataFrame | None = None, by: l
 
 def _searched(graph: DataFrame, starts: DataFrame, by: list[str]) -> DataFrame:
     """One group per network and block of sources; a group holds its network's arcs once and its block of sources."""
-    block = F.pmod(F.xxhash64("source"), F.col("blocks")).alias("block")
+    block = F.pmod(F.xxhash64("source"), F.col("blocks").cast("long")).alias("block")
     blocks = starts.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / SOURCES_PER_TASK).cast("int").alias("blocks"))
     if by:
         s, g = starts.join(blocks, by), graph.join(blocks, by)
@@ -70,7 +70,7 @@ def _searched(graph: DataFrame, starts: DataFrame, by: list[str]) -> DataFrame:
         n = F.lit(blocks.first().blocks or 1)
         s, g = starts.withColumn("blocks", n), graph.withColumn("blocks", n)
     s = s.select(*by, block, "source", F.lit(None).cast(graph.schema["target"].dataType).alias("target"), F.lit(None).cast("double").alias("distance"))
-    g = g.select(*by, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("long").alias("block"), "source", "target", "distance")
+    g = g.select(*by, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"), "source", "target", "distance")
     keys = [*by, "block"]
     both = s.unionByName(g)
 

@@ -67,3 +67,32 @@ def p6_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_medians": p2_medians, "p5_found": p5_found, "p5_totals": p5_totals, "p6_found": p6_found, "p6_packs": p6_packs}
+
+
+_CURRENT = """c AS (SELECT f.*, e.vertex1, e.vertex2, row_number() OVER (PARTITION BY f.build_id, f.frame, f.edge_key ORDER BY f.written_at DESC NULLS LAST, f.row_id DESC) AS rn
+  FROM frame_values f JOIN edges e ON f.edge_key = e.edge_key), w AS (SELECT c.*, v.kind FROM c LEFT JOIN vertices v ON c.vertex1 = v.vertex_id WHERE rn = 1)"""
+
+SQL = {
+    "p1_found": """WITH k AS (SELECT row_id AS id, CAST(build_id AS VARCHAR) || ':' || CAST(edge_key AS VARCHAR) AS a, CAST(frame AS BIGINT) AS o, unnest(['vdw', 'vdw_dif']) AS field, CAST(unnest([vdw, vdw_dif]) AS DOUBLE) AS x, TRUE AS z
+  FROM frame_values WHERE edge_key IN (SELECT edge_key FROM edges)
+  UNION ALL SELECT build_id, source_id, epoch_us(built_at), 'too_close_fraction_nm', too_close_fraction_nm, FALSE FROM scale_inference),
+r AS (SELECT DISTINCT a, field, o, x, z FROM k WHERE x IS NOT NULL),
+u AS (SELECT * FROM r WHERE isfinite(x) AND ((z AND x <> 0) OR (NOT z AND x BETWEEN 0 AND 1))),
+m AS (SELECT a, field, median(x) AS med FROM u GROUP BY a, field),
+s AS (SELECT u.a, u.field, median(abs(x - med)) AS mad FROM u JOIN m ON u.a = m.a AND u.field = m.field GROUP BY u.a, u.field),
+l AS (SELECT *, CASE WHEN lag(x) OVER w IS NOT DISTINCT FROM x THEN 0 ELSE 1 END AS new FROM r WINDOW w AS (PARTITION BY a, field ORDER BY o, x)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY a, field ORDER BY o, x) AS island FROM l),
+n AS (SELECT *, count(*) OVER (PARTITION BY a, field, island) AS run FROM i)
+SELECT DISTINCT k.field, k.id AS key_id FROM k JOIN n ON k.a = n.a AND k.field = n.field AND k.o = n.o AND k.x = n.x LEFT JOIN m ON k.a = m.a AND k.field = m.field LEFT JOIN s ON k.a = s.a AND k.field = s.field
+WHERE NOT (k.z AND k.x = 0) AND (NOT isfinite(k.x) OR (NOT k.z AND (k.x < 0 OR k.x > 1)) OR abs(k.x - med) > 12 * 1.4826 * mad OR run >= 5)""",
+    "p5_found": f"""WITH {_CURRENT}, t AS (SELECT build_id, sum(coalesce(n_atom_pairs, 0)) AS bt FROM w GROUP BY build_id),
+k AS (SELECT build_id, 'vertex1' AS key_field, CAST(vertex1 AS VARCHAR) AS key_value, sum(coalesce(n_atom_pairs, 0)) AS s FROM w GROUP BY build_id, vertex1
+  UNION ALL SELECT build_id, 'kind', kind, sum(coalesce(n_atom_pairs, 0)) FROM w WHERE kind IS NOT NULL GROUP BY build_id, kind)
+SELECT k.build_id, key_field, key_value FROM k JOIN t ON k.build_id = t.build_id WHERE s >= bt / 20.0""",
+    "p5_totals": f"WITH {_CURRENT} SELECT build_id, vertex1, CAST(sum(coalesce(n_atom_pairs, 0)) AS BIGINT) AS n_atom_pairs_sum, count(*) AS n_rows FROM w GROUP BY build_id, vertex1",
+    "p6_found": r"""WITH f AS (SELECT build_id, payload, payload LIKE 'edge_key,%' AS csv FROM part_files), l AS (SELECT build_id, csv, unnest(regexp_split_to_array(payload, '\r\n|\n|\r')) AS line FROM f),
+p AS (SELECT build_id, CASE WHEN line LIKE '{%' THEN ['j', CAST(json_extract(j, '$.frame') AS VARCHAR), CAST(json_extract(j, '$.edge_key') AS VARCHAR), CAST(json_extract(j, '$.n_atom_pairs') AS VARCHAR)]
+  WHEN csv THEN ['c', split_part(line, ',', 2), split_part(line, ',', 1), split_part(line, ',', 5)] ELSE ['t', split_part(line, chr(9), 1), split_part(line, chr(9), 2), split_part(line, chr(9), 5)] END AS x
+  FROM (SELECT *, TRY_CAST(line AS JSON) AS j FROM l))
+SELECT DISTINCT build_id, CAST(TRY_CAST(x[2] AS DOUBLE) AS INT) AS frame, CAST(TRY_CAST(x[3] AS DOUBLE) AS BIGINT) AS edge_key FROM p WHERE TRY_CAST(x[2] AS DOUBLE) IS NOT NULL AND TRY_CAST(x[3] AS DOUBLE) IS NOT NULL AND TRY_CAST(x[4] AS DOUBLE) IS NOT NULL""",
+}
