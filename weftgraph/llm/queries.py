@@ -81,3 +81,17 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_quantiles": p3_quantiles, "p4_found": p4_found, "p7_found": p7_found, "p7_containers": p7_containers, "p8_found": p8_found, "p8_shares": p8_shares, "p9_found": p9_found}
+
+
+_CURRENT = """c AS (SELECT f.*, e.vertex1, e.vertex2, row_number() OVER (PARTITION BY f.build_id, f.frame, f.edge_key ORDER BY f.written_at DESC NULLS LAST, f.row_id DESC) AS rn
+  FROM frame_values f JOIN edges e ON f.edge_key = e.edge_key), w AS (SELECT * FROM c WHERE rn = 1)"""
+
+SQL = {
+    "p3_found": f"""WITH {_CURRENT}, v AS (SELECT build_id, kind AS grp, unnest(['vdw', 'coulomb']) AS field, CAST(unnest([vdw, coulomb]) AS DOUBLE) AS x FROM w JOIN vertices ON vertex_id = vertex1),
+n AS (SELECT build_id, arg_max(median_neighbor_value, nb_id) AS x FROM residue_neighbors WHERE median_neighbor_value IS NOT NULL AND NOT isnan(median_neighbor_value) GROUP BY build_id, molecule_type, molecule_instance, residue_id, category)
+SELECT build_id, grp, field FROM v WHERE isfinite(x) GROUP BY build_id, grp, field HAVING count(*) >= 150 AND quantile_cont(abs(x), 0.95) >= 12 * median(abs(x))
+UNION ALL SELECT build_id, 'neighbors', 'median_neighbor_value' FROM n GROUP BY build_id HAVING quantile_cont(abs(x), 0.95) >= 12 * median(abs(x))""",
+    "p4_found": f"""WITH {_CURRENT}, e AS (SELECT build_id, unnest([vertex1, vertex2]) AS vertex_id, frame, edge_key, coulomb FROM w WHERE isfinite(coulomb)),
+r AS (SELECT *, row_number() OVER (PARTITION BY build_id, vertex_id ORDER BY coulomb DESC, edge_key, frame) AS place FROM e) SELECT build_id, vertex_id, frame, edge_key FROM r WHERE place <= 3""",
+    "p7_found": "SELECT doc_id FROM documents WHERE strlen(text) > 8192",
+}
