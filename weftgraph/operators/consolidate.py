@@ -42,11 +42,12 @@ def file_bodies(part_files: DataFrame) -> DataFrame:
     is_header = ~F.substring(F.trim(first), 1, 1).isin("{", "-", "+", *"0123456789")
     rows = (
         part_files.select("file_id", "build_id", "payload")
-        .where("payload IS NOT NULL AND trim(payload, ' \r\n\t') <> ''")
+        .where(F.col("payload").rlike(r"\S"))
+        .withColumn("payload", F.regexp_replace("payload", r"^\s*[\r\n]+", ""))
         .withColumn("header", F.when(is_header, first).when(F.substring(F.trim(first), 1, 1) == "{", "{}").otherwise(""))
         .withColumn("body", F.when(is_header, F.regexp_replace("payload", r"^[^\r\n]*(\r\n|\n|\r|$)", "")).otherwise(F.col("payload")))
         .drop("payload")
-        .where("trim(body, ' \r\n\t') <> ''")
+        .where(F.col("body").rlike(r"\S"))
         .withColumn("digest", F.sha2("body", 256))
     )
     kept = rows.groupBy("build_id", "header", "digest").agg(F.min("file_id").alias("file_id")).select("file_id")
@@ -114,7 +115,7 @@ def read_bodies(spark: SparkSession, packs: Consolidated) -> DataFrame:
                     raise ValueError(f"pack {row['cls']}/{row['pack']} has a wrong length")
                 for p in row["parts"]:
                     body = content[p["offset"] : p["offset"] + p["length"]]
-                    if zlib.crc32(body) != p["crc"]:
+                    if zlib.crc32(body) != p["crc"] or content[p["offset"] + p["length"]] != 10:
                         raise ValueError(f"pack {row['cls']}/{row['pack']}: checksum differs at {p['offset']}")
                     if p["part"] == 0:
                         header = body.decode()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,15 +31,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below the shared checkpoint folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) a temporary folder is made and recorded in the session.
+    Only where that setting is absent (tests on one machine) a temporary folder is made, one for each process.
     """
-    root = spark.conf.get(CHECKPOINT_CONF, None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir() if spark.sparkContext.getCheckpointDir() else tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set(CHECKPOINT_CONF, root)
+    root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir() or _own_folder()
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -88,5 +88,4 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def read_metadata(spark: SparkSession, path: str) -> dict:
-    rows = spark.read.option("wholetext", True).text(f"{path}/metadata.json").first()
-    return json.loads(rows.value)
+    return json.loads(spark.read.text(f"{path}/metadata.json", wholetext=True).first().value)
