@@ -24,29 +24,29 @@ def check_boxes(boxes: DataFrame) -> None:
 
 
 def with_cells(positions: DataFrame, cutoff: float, boxes: DataFrame | None = None) -> DataFrame:
-    """Adds, for each axis, the cell c*, the number of cells n* and the box side l* (null without a box)."""
+    """Adds, for each axis, the cell c*, and in a box its side l* and number of cells n* (both null without a box).
+
+    Cells of an open frame are counted from the origin of the coordinates, so nothing about the frame has to be known first.
+    """
     cut = F.lit(float(cutoff))
     if boxes is None:
         rows = positions.withColumns({f"l{a}": F.lit(None).cast("double") for a in AXES})
     else:
         whole = F.col("lx").isNotNull() & (F.least("lx", "ly", "lz") > 0)
         rows = positions.join(boxes.select("frame", *(F.when(whole, F.col(f"l{a}")).alias(f"l{a}") for a in AXES)), "frame", "left")
-    ends = positions.groupBy("frame").agg(*(f(a).alias(f"{n}{a}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max))))
-    rows = rows.join(ends, "frame")
     for a in AXES:
-        side = F.col(f"l{a}")
-        n = F.when(side.isNotNull(), F.greatest(F.lit(1), F.floor(side / cut))).otherwise(F.floor((F.col(f"hi{a}") - F.col(f"lo{a}")) / cut) + 1).cast("int")
-        rows = rows.withColumn(f"n{a}", n)
-        wrapped = F.col(a) - side * F.floor(F.col(a) / F.when(side != 0, side))
-        cell = F.when(side.isNotNull(), F.floor(wrapped / (F.when(side != 0, side) / F.col(f"n{a}")))).otherwise(F.floor((F.col(a) - F.col(f"lo{a}")) / cut))
-        rows = rows.withColumn(f"c{a}", F.least(F.greatest(cell, F.lit(0)), F.col(f"n{a}") - 1).cast("int"))
-    return rows.drop(*(f"{n}{a}" for a in AXES for n in ("lo", "hi")))
+        side = F.when(F.col(f"l{a}") > 0, F.col(f"l{a}"))
+        n = F.greatest(F.lit(1), F.floor(side / cut)).cast("int")
+        wrapped = F.col(a) - side * F.floor(F.col(a) / side)
+        inside = F.least(F.greatest(F.floor(wrapped / (side / n)), F.lit(0)), n - 1)
+        rows = rows.withColumns({f"n{a}": F.when(side.isNotNull(), n), f"c{a}": F.when(side.isNotNull(), inside).otherwise(F.floor(F.col(a) / cut)).cast("int")})
+    return rows
 
 
-def _around(cell: Column, n: Column, periodic: Column) -> Column:
-    """The cells next to a cell on one axis: wrapped in a box, else cut off at the ends, each once."""
+def _around(cell: Column, n: Column) -> Column:
+    """The cells next to a cell on one axis, wrapped in a box, each once."""
     near = F.array(cell - 1, cell, cell + 1)
-    return F.array_distinct(F.when(periodic, F.transform(near, lambda c: F.pmod(c, n))).otherwise(F.filter(near, lambda c: (c >= 0) & (c < n))))
+    return F.array_distinct(F.when(n.isNotNull(), F.transform(near, lambda c: F.pmod(c, n))).otherwise(near))
 
 
 def minimum_image(d: Column, side: Column) -> Column:
@@ -64,7 +64,7 @@ def pairs_within(positions: DataFrame, cutoff: float, boxes: DataFrame | None =
     left = rows.select("frame", *cells, F.col("atom_index").alias("i"), *(F.col(a).alias(f"{a}_i") for a in AXES), *(f"l{a}" for a in AXES), *(F.col(c).alias(f"{c}_i") for c in columns))
     right = rows
     for a in AXES:  # three small explodes; each neighbouring cell comes up once even where an axis has one or two cells
-        right = right.withColumn(f"c{a}", F.explode(_around(F.col(f"c{a}"), F.col(f"n{a}"), F.col(f"l{a}").isNotNull())))
+        right = right.withColumn(f"c{a}", F.explode(_around(F.col(f"c{a}"), F.col(f"n{a}"))))
     right = right.select("frame", *cells, F.col("atom_index").alias("j"), *(F.col(a).alias(f"{a}_j") for a in AXES), *(F.col(c).alias(f"{c}_j") for c in columns))
     joined = left.join(right, ["frame", *cells]).where("i < j")
     square = None

@@ -92,7 +92,7 @@ RVDW, RCOULOMB = 0.1, 0.12
 ENERGY_SQL = f"""{pairs_sql(0.12, 1.0)}, {TYPES_SQL},
 e AS (SELECT q.*, sqrt(r2) AS r, sigma, epsilon FROM q JOIN tp ON least(q.type_i, q.type_j) = tp.type_i AND greatest(q.type_i, q.type_j) = tp.type_j
   WHERE vertex_id_i <> vertex_id_j AND NOT (i // 10 = j // 10 AND j = i + 1)),
-en AS (SELECT frame, i, j, vertex_id_i, vertex_id_j, CASE WHEN r <= {RVDW} THEN 4 * epsilon * (pow(sigma / r, 12) - pow(sigma / r, 6)) ELSE 0.0 END AS vdw, CASE WHEN r <= {RCOULOMB} THEN 138.935458 * charge_i * charge_j / r ELSE 0.0 END AS coulomb,
+en AS (SELECT frame, i, j, r, vertex_id_i, vertex_id_j, CASE WHEN r <= {RVDW} THEN 4 * epsilon * (pow(sigma / r, 12) - pow(sigma / r, 6)) ELSE 0.0 END AS vdw, CASE WHEN r <= {RCOULOMB} THEN 138.935458 * charge_i * charge_j / r ELSE 0.0 END AS coulomb,
   CASE WHEN r <= {RVDW} THEN 24 * epsilon / r * (pow(sigma / r, 6) - 2 * pow(sigma / r, 12)) ELSE 0.0 END AS vdw_dif, CASE WHEN r <= {RCOULOMB} THEN -138.935458 * charge_i * charge_j / (r * r) ELSE 0.0 END AS coulomb_dif FROM e)"""
 
 
@@ -106,10 +106,9 @@ def _energies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.pair_energies(close, _vdw_types(spark, sf_dir), RVDW, RCOULOMB)
 
 
-@query("pair_energies", f"WITH {ENERGY_SQL} SELECT frame, i, j, round(vdw, 6) AS vdw, round(coulomb, 4) AS coulomb, round(vdw_dif, 4) AS vdw_dif, round(coulomb_dif, 3) AS coulomb_dif FROM en WHERE vdw BETWEEN -1e6 AND 1e6 AND abs(coulomb_dif) < 1e7 AND abs(vdw_dif) < 1e7")
+@query("pair_energies", f"WITH {ENERGY_SQL} SELECT frame, i, j, round(vdw, 6) AS vdw, round(coulomb, 4) AS coulomb, round(vdw_dif, 4) AS vdw_dif, round(coulomb_dif, 3) AS coulomb_dif FROM en WHERE r > 0.02")
 def pair_energies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _energies(spark, sf_dir).where("vdw BETWEEN -1e6 AND 1e6 AND abs(coulomb_dif) < 1e7 AND abs(vdw_dif) < 1e7")
-    e = e.select("frame", "i", "j", "vdw", "coulomb", "vdw_dif", "coulomb_dif")
+    e = _energies(spark, sf_dir).where("r > 0.02").select("frame", "i", "j", "vdw", "coulomb", "vdw_dif", "coulomb_dif")
     return rounded(rounded(rounded(e, "vdw", digits=6), "coulomb", "vdw_dif"), "coulomb_dif", digits=3)
 
 
