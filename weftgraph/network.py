@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from weftgraph.functions.selectors import vertex_condition
 from weftgraph.operators import edges as E

@@ -147,13 +147,13 @@ def above_threshold(analysis: DataFrame, threshold: object, percentile: float =
     return rows.where(keep | (finite(F.col("abs_value")) & (F.col("abs_value") >= F.col("threshold")))).drop("threshold")
 
 
-def strongest_edges(analysis: DataFrame, n: int | None) -> DataFrame:
-    """The ``n`` strongest edges, NaN first, ties by edge_key. None keeps all."""
+def strongest_edges(analysis: DataFrame, n: int | None, by: list[str] | None = None) -> DataFrame:
+    """The ``n`` strongest edges of all networks, NaN first, ties by edge_key, then by network. None keeps all."""
     if n is None:
         return analysis
     if n < 1:
         raise ValueError("at least one edge must be kept")
-    return analysis.orderBy(F.desc("abs_value"), F.asc("edge_key"), *[F.asc(c) for c in analysis.columns if c == "build_id"]).limit(n)
+    return analysis.orderBy(F.desc("abs_value"), F.asc("edge_key"), *(by or [])).limit(n)
 
 
 def filter_counts(analysis: DataFrame, excluded: Ends, threshold: object, percentile: float, by: list[str] | None, n: int | None) -> DataFrame:
@@ -161,7 +161,7 @@ def filter_counts(analysis: DataFrame, excluded: Ends, threshold: object, percen
     steps = [("before", analysis)]
     steps.append(("after_exclusion", exclude_endpoints(analysis, excluded)))
     steps.append(("after_threshold", above_threshold(steps[-1][1], threshold, percentile, by)))
-    steps.append(("final", strongest_edges(steps[-1][1], n)))
+    steps.append(("final", strongest_edges(steps[-1][1], n, by)))
     counted = [df.agg(F.count(F.lit(1)).alias("n_edges")).select(F.lit(s).alias("step"), "n_edges") for s, df in steps]
     out = counted[0]
     for c in counted[1:]:

@@ -45,10 +45,10 @@ def residue_keys(vertices: DataFrame, vertex_ids: DataFrame) -> DataFrame:
 RESIDUE = ["molecule_type", "molecule_instance", "residue_id", "residue_name"]
 
 
-def residue_index(regions: DataFrame, vertices: DataFrame) -> DataFrame:
-    """region_index, region, vertex_id, the residue and residue_index: its rank from 1 in the region."""
+def residue_index(regions: DataFrame, vertices: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """region_index, region, vertex_id, the residue and residue_index: its rank from 1 in the region (of a network, with ``by``)."""
     rows = regions.join(vertices.select("vertex_id", *RESIDUE), "vertex_id").withColumns({c: F.coalesce(c, F.lit("")) for c in ("molecule_type", "residue_name")})
-    w = Window.partitionBy("region_index").orderBy("molecule_type", F.asc_nulls_last("molecule_instance"), F.asc_nulls_last("residue_id"), "residue_name")
+    w = Window.partitionBy(*(by or []), "region_index").orderBy("molecule_type", F.asc_nulls_last("molecule_instance"), F.asc_nulls_last("residue_id"), "residue_name")
     return rows.withColumn("residue_index", F.dense_rank().over(w))
 
 
@@ -84,10 +84,11 @@ def with_color_position(cells: DataFrame, by: list[str] | None = None) -> DataFr
     return rows.withColumn("position", signed_root(F.col("value"), F.col("vmax")))
 
 
-def pair_layout(regions: DataFrame, vertices: DataFrame) -> DataFrame:
+def pair_layout(regions: DataFrame, vertices: DataFrame, by: list[str] | None = None) -> DataFrame:
     """For each pair of regions whether their sequences of residue names agree (overlay) or not (adjacent)."""
-    names = residue_index(regions, vertices).groupBy("region_index", "region").agg(F.sort_array(F.collect_set(F.struct("residue_index", "residue_name"))).alias("s"))
-    a, b = names.select(F.col("region_index").alias("i"), F.col("region").alias("region1"), F.col("s.residue_name").alias("n1")), names.select(F.col("region_index").alias("j"), F.col("region").alias("region2"), F.col("s.residue_name").alias("n2"))
-    return a.join(b, F.col("i") < F.col("j")).select("region1", "region2", F.when(F.col("n1") == F.col("n2"), "overlay").otherwise("adjacent").alias("layout"))
-
-
+    by = by or []
+    names = residue_index(regions, vertices, by).groupBy(*by, "region_index", "region").agg(F.sort_array(F.collect_set(F.struct("residue_index", "residue_name"))).alias("s"))
+    a = names.select(*by, F.col("region_index").alias("i"), F.col("region").alias("region1"), F.col("s.residue_name").alias("n1"))
+    b = names.select(*by, F.col("region_index").alias("j"), F.col("region").alias("region2"), F.col("s.residue_name").alias("n2"))
+    both = a.join(b, by).where("i < j") if by else a.join(b, F.col("i") < F.col("j"))
+    return both.select(*by, "region1", "region2", F.when(F.col("n1") == F.col("n2"), "overlay").otherwise("adjacent").alias("layout"))

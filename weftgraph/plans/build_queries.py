@@ -1,13 +1,13 @@
 """Queries over coordinates and atoms: the steps that build a network, with SQL that gives the same rows.
 
-Atoms come from the members of vertices; coordinates of a frame from three components of the embeddings.
+Atoms come from the parts; coordinates of a frame from three components of the embeddings.
 """
 
 from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.operators import pairs, resolution, scale, topology
@@ -123,23 +123,25 @@ def frame_edge_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(exact.join(stored, ["frame", "edge_key"]), "coulomb", digits=3)
 
 
-# --- atoms and vertices ------------------------------------------------------------------------------------------------
+# --- atoms and vertices: parts as atoms, their brands as molecules, their sizes as residues -----------------------------
 
-ATOMS_SQL = """ta AS (SELECT m.atom_index, m.atom_nr, coalesce(v.residue_id, 0) AS residue_id, coalesce(v.residue_name, '') AS residue_name, coalesce(v.molecule_type, '') AS molecule_type,
-  coalesce(v.molecule_instance, 0) AS molecule_instance, coalesce(v.atom_name, 'X' || CAST(m.atom_nr % 4 AS VARCHAR)) AS atom_name, coalesce(v.atom_type, 'T') AS atom_type, v.charge FROM vertex_members m JOIN vertices v ON m.vertex_id = v.vertex_id)"""
+ATOMS_SQL = """ta AS (SELECT CAST(p_partkey AS INT) AS atom_index, CAST(p_partkey + 1 AS INT) AS atom_nr, CAST(p_size AS INT) AS residue_id, upper(substr(p_type, 1, 3)) AS residue_name,
+  p_brand AS molecule_type, CAST(p_partkey % 3 + 1 AS INT) AS molecule_instance, 'X' || CAST(p_partkey % 4 AS VARCHAR) AS atom_name, p_type AS atom_type, p_retailprice AS charge FROM part)"""
 
 
 def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m, v = table(spark, sf_dir, "vertex_members"), table(spark, sf_dir, "vertices").drop("atom_nr")
-    text = {c: F.coalesce(c, F.lit("")) for c in ("residue_name", "molecule_type")} | {c: F.coalesce(c, F.lit(0)) for c in ("residue_id", "molecule_instance")}
-    name = F.coalesce("atom_name", F.concat(F.lit("X"), F.pmod("atom_nr", F.lit(4)).cast("string")))
-    return m.join(v, "vertex_id").withColumns(text | {"atom_name": name, "atom_type": F.coalesce("atom_type", F.lit("T"))}).drop("vertex_id", "label", "kind", "members")
-
-
-HIGH, LOW, BUNDLE = ["resid 10-12 7"], ["PHY", "resname que and resid 1-40"], [["CYL", "ALU:1-30"]]
-_LOW1, _LOW2 = "upper(residue_name) = 'PHY'", "(upper(residue_name) = 'QUE' AND residue_id BETWEEN 1 AND 40)"
-RESOLVED_SQL = f"""{ATOMS_SQL}, k AS (SELECT *, CASE WHEN residue_id BETWEEN 10 AND 12 OR residue_id = 7 THEN 'atom' WHEN {_LOW1} OR {_LOW2} THEN 'low_res' WHEN upper(residue_name) = 'CYL' OR (upper(residue_name) = 'ALU' AND residue_id BETWEEN 1 AND 30) THEN 'bundle' ELSE 'residue' END AS kind FROM ta),
-l AS (SELECT *, CASE kind WHEN 'atom' THEN residue_name || ':' || residue_id || ':' || atom_name || ':' || atom_nr WHEN 'low_res' THEN CASE WHEN {_LOW1} THEN 'PHY' ELSE 'resname que and resid 1-40' END WHEN 'bundle' THEN 'CYL+ALU:1-30' ELSE residue_name || ':' || residue_id END AS label,
+    part = table(spark, sf_dir, "part")
+    key = F.col("p_partkey").cast("int")
+    return part.select(
+        key.alias("atom_index"), (key + 1).alias("atom_nr"), F.col("p_size").cast("int").alias("residue_id"), F.upper(F.substring("p_type", 1, 3)).alias("residue_name"), F.col("p_brand").alias("molecule_type"),
+        (key % 3 + 1).alias("molecule_instance"), F.concat(F.lit("X"), (key % 4).cast("string")).alias("atom_name"), F.col("p_type").alias("atom_type"), F.col("p_retailprice").alias("charge"),
+    )
+
+
+HIGH, LOW, BUNDLE = ["resid 10-12 7"], ["STA", "resname lar and resid 1-40"], [["MED", "SMA:1-30"]]
+_LOW1, _LOW2 = "residue_name = 'STA'", "(residue_name = 'LAR' AND residue_id BETWEEN 1 AND 40)"
+RESOLVED_SQL = f"""{ATOMS_SQL}, k AS (SELECT *, CASE WHEN residue_id BETWEEN 10 AND 12 OR residue_id = 7 THEN 'atom' WHEN {_LOW1} OR {_LOW2} THEN 'low_res' WHEN residue_name = 'MED' OR (residue_name = 'SMA' AND residue_id BETWEEN 1 AND 30) THEN 'bundle' ELSE 'residue' END AS kind FROM ta),
+l AS (SELECT *, CASE kind WHEN 'atom' THEN residue_name || ':' || residue_id || ':' || atom_name || ':' || atom_nr WHEN 'low_res' THEN CASE WHEN {_LOW1} THEN 'STA' ELSE 'resname lar and resid 1-40' END WHEN 'bundle' THEN 'MED+SMA:1-30' ELSE residue_name || ':' || residue_id END AS label,
   CASE kind WHEN 'atom' THEN 'a' || atom_index WHEN 'low_res' THEN CASE WHEN {_LOW1} THEN 'l0' ELSE 'l1' END WHEN 'bundle' THEN 'b0' ELSE 'r' || molecule_type || ':' || molecule_instance || ':' || residue_id || ':' || residue_name END AS key FROM k),
 g AS (SELECT key, min(atom_index) AS first_atom, count(*) AS n, arg_min(label, atom_index) AS label, arg_min(kind, atom_index) AS kind, arg_min(residue_id, atom_index) AS residue_id FROM l GROUP BY key)"""
 
@@ -153,19 +155,16 @@ def vertex_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _system(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Molecule types with their numbers of instances, and the atoms of each first instance as templates."""
-    a = atoms(spark, sf_dir).where("molecule_type <> ''")
-    counts = a.groupBy("molecule_type").agg(F.countDistinct("molecule_instance").alias("count"), F.min("molecule_instance").alias("molecule_instance"))
-    first = a.join(counts.select("molecule_type", "molecule_instance"), ["molecule_type", "molecule_instance"])
-    templates = first.select(F.col("molecule_type").alias("molecule"), F.col("atom_nr").alias("nr"), F.col("residue_id").alias("residue_nr"), "residue_name", "atom_name", "atom_type", "charge")
-    from pyspark.sql import Window
-
-    entries = counts.select((F.row_number().over(Window.orderBy("molecule_type")) - 1).alias("ordinal"), F.col("molecule_type").alias("molecule"), F.col("count").cast("int").alias("count"))
-    return entries, templates
+    """Brands as molecules with three instances each (four of the first), and their parts as templates."""
+    a = atoms(spark, sf_dir)
+    templates = a.select(F.col("molecule_type").alias("molecule"), F.col("atom_nr").alias("nr"), F.col("residue_id").alias("residue_nr"), "residue_name", "atom_name", "atom_type", "charge")
+    w = Window.orderBy("molecule")  # over the few brands
+    entries = templates.select("molecule").distinct().withColumn("ordinal", F.row_number().over(w) - 1)
+    return entries.withColumn("count", F.when(F.col("ordinal") == 0, 4).otherwise(3)), templates
 
 
-SYSTEM_SQL = f"""{ATOMS_SQL}, mt AS (SELECT molecule_type, count(DISTINCT molecule_instance) AS cnt, min(molecule_instance) AS fi, row_number() OVER (ORDER BY molecule_type) - 1 AS ordinal FROM ta WHERE molecule_type <> '' GROUP BY molecule_type),
-tm AS (SELECT a.*, cnt, ordinal, row_number() OVER (PARTITION BY a.molecule_type ORDER BY atom_nr) AS place, min(atom_nr) OVER (PARTITION BY a.molecule_type, residue_id) AS rf FROM ta a JOIN mt ON a.molecule_type = mt.molecule_type AND a.molecule_instance = mt.fi),
+SYSTEM_SQL = f"""{ATOMS_SQL}, mt AS (SELECT molecule_type, row_number() OVER (ORDER BY molecule_type) - 1 AS ordinal, CASE WHEN row_number() OVER (ORDER BY molecule_type) = 1 THEN 4 ELSE 3 END AS cnt FROM (SELECT DISTINCT molecule_type FROM ta)),
+tm AS (SELECT a.*, cnt, ordinal, row_number() OVER (PARTITION BY a.molecule_type ORDER BY atom_nr) AS place, min(atom_nr) OVER (PARTITION BY a.molecule_type, residue_id) AS rf FROM ta a JOIN mt ON a.molecule_type = mt.molecule_type),
 tr AS (SELECT *, dense_rank() OVER (PARTITION BY molecule_type ORDER BY rf) AS rplace FROM tm),
 sz AS (SELECT molecule_type, any_value(ordinal) AS ordinal, any_value(cnt) AS cnt, count(*) AS atoms_each, max(rplace) AS res_each FROM tr GROUP BY molecule_type),
 off AS (SELECT *, coalesce(sum(cnt * atoms_each) OVER (ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ab, coalesce(sum(cnt * res_each) OVER (ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rb FROM sz)"""
@@ -191,12 +190,16 @@ def trailing_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "bonded_exclusions",
-    "WITH b AS (SELECT vertex1 AS i, vertex2 AS j FROM edges WHERE vertex2 - vertex1 <= 40 UNION SELECT vertex2, vertex1 FROM edges WHERE vertex2 - vertex1 <= 40), h AS (SELECT i, j FROM b UNION SELECT x.i, y.j FROM b x JOIN b y ON x.j = y.i) SELECT 'net' AS molecule, i, j FROM h WHERE i < j",
+    "WITH r AS (SELECT DISTINCT CAST(build_id AS VARCHAR) || molecule_type || CAST(molecule_instance AS VARCHAR) AS molecule, residue_id AS i FROM residue_neighbors WHERE residue_id IS NOT NULL AND molecule_type IS NOT NULL AND molecule_instance IS NOT NULL), "
+    "n AS (SELECT molecule, i, lead(i) OVER (PARTITION BY molecule ORDER BY i) AS j FROM r), b AS (SELECT molecule, i, j FROM n WHERE j IS NOT NULL UNION SELECT molecule, j, i FROM n WHERE j IS NOT NULL), "
+    "h AS (SELECT molecule, i, j FROM b UNION SELECT x.molecule, x.i, y.j FROM b x JOIN b y ON x.molecule = y.molecule AND x.j = y.i), h3 AS (SELECT * FROM h UNION SELECT x.molecule, x.i, y.j FROM h x JOIN b y ON x.molecule = y.molecule AND x.j = y.i) SELECT molecule, i, j FROM h3 WHERE i < j",
 )
 def bonded_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vertices joined by at most two of the short edges."""
-    bonds = table(spark, sf_dir, "edges").where("vertex2 - vertex1 <= 40").select(F.lit("net").alias("molecule"), F.col("vertex1").alias("i"), F.col("vertex2").alias("j"))
-    return topology.bonded_exclusions(bonds, spark.createDataFrame([("net", 2)], "molecule string, nrexcl int"))
+    """Residues joined by at most three bonds, where each residue of a molecule is bonded to the next."""
+    key = F.concat(F.col("build_id").cast("string"), "molecule_type", F.col("molecule_instance").cast("string")).alias("molecule")
+    r = table(spark, sf_dir, "residue_neighbors").select(key, F.col("residue_id").alias("i")).where("molecule IS NOT NULL AND i IS NOT NULL").distinct()
+    bonds = r.withColumn("j", F.lead("i").over(Window.partitionBy("molecule").orderBy("i"))).where("j IS NOT NULL")
+    return topology.bonded_exclusions(bonds, r.select("molecule", F.lit(3).alias("nrexcl")).distinct())
 
 
 CUTOFF_NM = 1.2

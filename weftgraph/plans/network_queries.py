@@ -160,7 +160,7 @@ def edge_explicit_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("edge_topk", f"WITH {analysis_sql()} SELECT build_id, edge_key, round(abs_value, 4) AS abs_value FROM a ORDER BY a.abs_value DESC, edge_key, build_id LIMIT 20")
 def edge_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(E.strongest_edges(analysis(spark, sf_dir), 20).select("build_id", "edge_key", "abs_value"), "abs_value")
+    return rounded(E.strongest_edges(analysis(spark, sf_dir), 20, BY).select("build_id", "edge_key", "abs_value"), "abs_value")
 
 
 @query(
@@ -222,9 +222,21 @@ def unknown_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.unknown_edges(table(spark, sf_dir, "frame_values"), table(spark, sf_dir, "edges"))
 
 
-@query("member_counts", "SELECT v.vertex_id, count(m.atom_index) AS n_members FROM vertices v LEFT JOIN vertex_members m ON v.vertex_id = m.vertex_id GROUP BY v.vertex_id")
+SEEN_SQL = "seen AS (SELECT DISTINCT build_id, vertex_id FROM (SELECT build_id, vertex1 AS vertex_id FROM v UNION ALL SELECT build_id, vertex2 FROM v))"
+
+
+def seen_vertices(n: Networks) -> DataFrame:
+    """build_id and vertex_id of the vertices that the values of each build show."""
+    ends = F.array(F.col("vertex1").cast("long"), F.col("vertex2").cast("long"))
+    return n.values.select("build_id", "edge_key").distinct().join(n.edges, "edge_key").select("build_id", F.explode(ends).alias("vertex_id")).distinct()
+
+
+@query("member_counts", f"WITH {VALUES_SQL}, {SEEN_SQL} SELECT build_id, count(*) AS n_vertices, CAST(sum(n) AS BIGINT) AS n_members FROM seen JOIN mc ON seen.vertex_id = mc.vertex_id GROUP BY build_id")
 def member_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.member_counts(table(spark, sf_dir, "vertices"), table(spark, sf_dir, "vertex_members"))
+    """Vertices of each build and the atoms they have."""
+    n = networks(spark, sf_dir)
+    counted = seen_vertices(n).join(E.member_counts(n.vertices, n.members), "vertex_id")
+    return counted.groupBy("build_id").agg(F.count(F.lit(1)).alias("n_vertices"), F.sum("n_members").alias("n_members"))
 
 
 # --- selectors: rows of all builds whose first vertex is selected ------------------------------------------------------
@@ -294,10 +306,19 @@ def rave_signed_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("build_id", "frame", "source_region", "target_region", "residue_index", "position"), "position", digits=6)
 
 
-@query("rave_residue_index", f"WITH {REGION_SQL} SELECT region_index, region, vertex_id, residue_index FROM place")
+_SEEN_PLACE = f"{SEEN_SQL}, {REGION_SQL}, sp AS (SELECT s.build_id, region_index, region, p.vertex_id, residue_name, dense_rank() OVER (PARTITION BY s.build_id, region_index ORDER BY molecule_type, molecule_instance NULLS LAST, residue_id NULLS LAST, residue_name) AS k FROM seen s JOIN place p ON s.vertex_id = p.vertex_id)"
+
+
+def _seen_regions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The regions among the vertices of each build, and the vertices."""
+    n = networks(spark, sf_dir)
+    return seen_vertices(n).join(regions.resolve_regions(n.vertices, REGIONS), "vertex_id"), n.vertices
+
+
+@query("rave_residue_index", f"WITH {VALUES_SQL}, {_SEEN_PLACE} SELECT build_id, region_index, region, vertex_id, CAST(k AS INT) AS residue_index FROM sp")
 def rave_residue_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "vertices")
-    return regions.residue_index(regions.resolve_regions(v, REGIONS), v).select("region_index", "region", "vertex_id", "residue_index")
+    r, v = _seen_regions(spark, sf_dir)
+    return regions.residue_index(r, v, BY).select("build_id", "region_index", "region", "vertex_id", "residue_index")
 
 
 @query("region_rows", f"WITH {VALUES_SQL}, {REGION_SQL} SELECT build_id, p.region, count(*) AS n_rows FROM v JOIN place p ON v.vertex1 = p.vertex_id GROUP BY build_id, p.region")
@@ -310,12 +331,12 @@ def region_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "pair_layout",
-    f"WITH {REGION_SQL}, s AS (SELECT region_index, region, list(residue_name ORDER BY residue_index) AS names FROM (SELECT DISTINCT region_index, region, residue_index, residue_name FROM place) GROUP BY ALL) "
-    "SELECT a.region AS region1, b.region AS region2, CASE WHEN a.names = b.names THEN 'overlay' ELSE 'adjacent' END AS layout FROM s a JOIN s b ON a.region_index < b.region_index",
+    f"WITH {VALUES_SQL}, {_SEEN_PLACE}, s AS (SELECT build_id, region_index, region, list(residue_name ORDER BY k) AS names FROM (SELECT DISTINCT build_id, region_index, region, k, residue_name FROM sp) GROUP BY ALL) "
+    "SELECT a.build_id, a.region AS region1, b.region AS region2, CASE WHEN a.names = b.names THEN 'overlay' ELSE 'adjacent' END AS layout FROM s a JOIN s b ON a.build_id = b.build_id AND a.region_index < b.region_index",
 )
 def pair_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "vertices")
-    return regions.pair_layout(regions.resolve_regions(v, REGIONS), v)
+    r, v = _seen_regions(spark, sf_dir)
+    return regions.pair_layout(r, v, BY)
 
 
 @query("residue_keys", f"WITH {VALUES_SQL} SELECT DISTINCT x.vertex_id, x.molecule_instance, x.residue_id, coalesce(x.residue_name, '') AS residue_name FROM v JOIN vertices x ON v.vertex1 = x.vertex_id OR v.vertex2 = x.vertex_id")
@@ -479,11 +500,14 @@ def info_kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "info_vertex_listing",
-    "WITH r AS (SELECT *, CASE kind WHEN 'atom' THEN 0 WHEN 'low_res' THEN 1 WHEN 'bundle' THEN 2 WHEN 'residue' THEN 3 ELSE 4 END AS k FROM vertices), n AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY molecule_instance NULLS FIRST, residue_id NULLS FIRST, atom_nr NULLS FIRST, vertex_id) AS rn FROM r) "
-    "SELECT vertex_id, kind, label FROM n WHERE rn <= 40 ORDER BY k, molecule_instance NULLS FIRST, residue_id NULLS FIRST, atom_nr NULLS FIRST, vertex_id LIMIT 200",
+    f"WITH {VALUES_SQL}, {SEEN_SQL}, u AS (SELECT vertex_id, count(*) AS n_builds FROM seen GROUP BY vertex_id), r AS (SELECT x.*, n_builds, CASE kind WHEN 'atom' THEN 0 WHEN 'low_res' THEN 1 WHEN 'bundle' THEN 2 WHEN 'residue' THEN 3 ELSE 4 END AS k FROM vertices x JOIN u ON x.vertex_id = u.vertex_id), n AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY molecule_instance NULLS FIRST, residue_id NULLS FIRST, atom_nr NULLS FIRST, vertex_id) AS rn FROM r) "
+    "SELECT vertex_id, kind, label, n_builds FROM n WHERE rn <= 40 ORDER BY k, molecule_instance NULLS FIRST, residue_id NULLS FIRST, atom_nr NULLS FIRST, vertex_id LIMIT 200",
 )
 def info_vertex_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return info.vertex_listing(table(spark, sf_dir, "vertices")).select("vertex_id", "kind", "label")
+    """The display listing of the vertices that any build shows, with the number of builds."""
+    n = networks(spark, sf_dir)
+    shown = n.vertices.join(seen_vertices(n).groupBy("vertex_id").agg(F.count(F.lit(1)).alias("n_builds")), "vertex_id")
+    return info.vertex_listing(shown).select("vertex_id", "kind", "label", "n_builds")
 
 
 @query("radius_transform", f"WITH {analysis_sql('vdw+cl', 'per_coarse_member_product')} SELECT build_id, edge_key, round(ln(1 + abs(value)) * 0.05, 6) AS r_log, round(sqrt(abs(value)) * 0.05, 6) AS r_sqrt, round(abs(value) * 0.05, 6) AS r_linear, CASE WHEN value < 0 THEN 'blue' ELSE 'red' END AS color FROM a WHERE abs(value) > 0")
