@@ -7,17 +7,16 @@ output file. A manifest keeps offset, length and checksum of every body; reading
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.session import shared_folder
 
-TARGET_BYTES = 128 * 1024 * 1024
+TARGET_BYTES = 64 * 1024 * 1024
+#: Bodies of one pack at most, so that its part of the manifest stays small; bodies whose manifest is broadcast at most.
+PACK_BODIES, BROADCAST_BODIES = 200_000, 100_000
 FIELDS = ["frame", "edge_key", "vdw", "coulomb", "n_atom_pairs"]
 LINE_END = r"\r\n|\n|\r"
 
@@ -64,7 +63,7 @@ def consolidate(part_files: DataFrame, target_bytes: int = TARGET_BYTES) -> Cons
     spark = part_files.sparkSession
     bodies = file_bodies(part_files).withColumn("cls", F.substring(F.sha2("header", 256), 1, 12))
     size = F.octet_length("body") + 1
-    packs = bodies.groupBy("cls").agg(F.ceil(F.sum(size) / F.lit(target_bytes)).cast("long").alias("packs"))
+    packs = bodies.groupBy("cls").agg(F.ceil(F.greatest(F.sum(size) / F.lit(target_bytes), F.count(F.lit(1)) / F.lit(PACK_BODIES))).cast("long").alias("packs"))
     bodies = bodies.join(packs, "cls").withColumn("pack", F.pmod(F.xxhash64("file_id"), "packs")).drop("packs")
     # a line end already there makes the writer's own one a blank line, which holds no record; so it is cut off first
     bodies = bodies.withColumn("body", F.regexp_replace("body", r"[\r\n]+$", ""))
@@ -104,28 +103,24 @@ def read_bodies(spark: SparkSession, packs: Consolidated) -> DataFrame:
         .load(packs.files)
         .select(F.regexp_extract("path", r"cls=([0-9a-f]+)", 1).alias("cls"), F.regexp_extract("path", r"pack=(\d+)", 1).cast("long").alias("pack"), "content")
     )
-    # a pack is one file of about the target size; the count of files also shows a missing one
-    joined = parts.join(files, ["cls", "pack"], "left")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                content, header, out = row["content"], "", []
-                if content is None or len(content) != sum(p["length"] + 1 for p in row["parts"]):
-                    raise ValueError(f"pack {row['cls']}/{row['pack']} has a wrong length")
-                for p in row["parts"]:
-                    body = content[p["offset"] : p["offset"] + p["length"]]
-                    if zlib.crc32(body) != p["crc"] or content[p["offset"] + p["length"]] != 10:
-                        raise ValueError(f"pack {row['cls']}/{row['pack']}: checksum differs at {p['offset']}")
-                    if p["part"] == 0:
-                        header = body.decode()
-                    else:
-                        out.append((p["build_id"], p["file_id"], body.decode()))
-                if out:
-                    b, f, t = zip(*out)
-                    yield pa.RecordBatch.from_arrays([pa.array([row["cls"]] * len(out)), pa.array([header] * len(out)), pa.array(b, pa.int64()), pa.array(f, pa.int64()), pa.array(t)], names=["cls", "header", "build_id", "file_id", "body"])
-
-    return joined.mapInArrow(cut, "cls string, header string, build_id long, file_id long, body string")
+    if manifest.count() <= BROADCAST_BODIES:  # else the contents, one row a pack, are shuffled to their manifests
+        parts = F.broadcast(parts)
+    joined = files.join(parts, ["cls", "pack"], "full")
+    whole = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["length"] + 1)
+    name = F.concat(F.lit("pack "), F.col("cls"), F.lit("/"), F.col("pack").cast("string"))
+    fits = F.coalesce(F.octet_length("content") == whole, F.lit(False))
+
+    def body(p: Column) -> Column:
+        cut = F.substring("content", p["offset"].cast("int") + 1, p["length"])
+        end = F.substring("content", (p["offset"] + p["length"]).cast("int") + 1, F.lit(1))
+        sound = (F.crc32(cut) == p["crc"]) & (end == F.lit(b"\n"))
+        text = F.when(sound, F.decode(cut, "UTF-8")).otherwise(F.raise_error(F.concat(name, F.lit(": checksum differs"))))
+        return F.struct(p["part"].alias("part"), p["build_id"].alias("build_id"), p["file_id"].alias("file_id"), text.alias("body"))
+
+    bodies = F.when(fits, F.transform("parts", body)).otherwise(F.raise_error(F.concat(name, F.lit(" has a wrong length"))))
+    cut = joined.select("cls", bodies.alias("b"))
+    head = F.coalesce(F.when(F.col("b")[0]["part"] == 0, F.col("b")[0]["body"]), F.lit(""))
+    return cut.select("cls", head.alias("header"), F.explode("b").alias("b")).where("b.part = 1").select("cls", "header", "b.build_id", "b.file_id", "b.body")
 
 
 def value_records(bodies: DataFrame) -> DataFrame:
