@@ -19,6 +19,7 @@ from weftgraph.functions.values import NORMALIZATIONS, VALUE_COLUMNS
 from weftgraph.network import load_network
 from weftgraph.operators import edges as E
 from weftgraph.operators import info, neighbors, paths, viewer
+from weftgraph.session import written
 from weftgraph.sources import structure, tsv
 
 
@@ -103,7 +104,7 @@ def _info(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def profile(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
-    """The table of a plot command, in order."""
+    """The table of a plot command, in order. For paths the table of the atom vertices is written beside it."""
     net = load_network(spark, args.input)
     if args.plot == "rave":
         r = net.region_interactions(args.region, args.region_label or None, args.value, args.normalize)
@@ -114,7 +115,9 @@ def profile(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
         options = {"summary": args.neighbor_summary, "target": args.target, "excluded": _chosen(args, "exclude"), "removed": _chosen(args, "remove"), "split_excluded": args.split_excluded}
         said = {"value_name": args.value, "normalization": args.normalize, "neighbor_summary": args.neighbor_summary, "target_selector": args.target or "", "split_excluded": args.split_excluded}
         return net.neighbor_profile(a, **options).withColumns({k: F.lit(v) for k, v in said.items()})
-    m = net.path_metrics(a, args.value, args.target)
+    m = written(net.path_metrics(a, args.value, args.target), "paths")
+    detail = paths.high_res_profile(m, net.vertices).withColumn("target_selector", F.lit(args.target or "")).orderBy("plot_index")
+    tsv.write_tsv(detail, f"{args.output}.high_res", 12)
     return paths.path_profile(m, net.vertices).withColumn("target_selector", F.lit(args.target or "")).orderBy(*neighbors.residue_order())
 
 
