@@ -11,7 +11,7 @@ from weftgraph.llm.packing import CAPACITY, pack_documents
 from weftgraph.llm.sentences import sentences
 from weftgraph.llm.topn import top_rows_of_vertices
 from weftgraph.operators.latest import current_rows
-from weftgraph.session import table
+from weftgraph.session import table, written
 
 SHARES = [0.05, 0.5, 0.95, 0.99]
 
@@ -44,6 +44,13 @@ def p3_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.sketch_quantiles(Q.merge_sketches(values, KEYS), KEYS, SHARES)
 
 
+def p3_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of the coulomb of current rows per build, out of stored sketches of each day on which rows were written."""
+    rows = _current(spark, sf_dir, ["coulomb", "written_at"]).select("build_id", F.to_date("written_at").alias("day"), "coulomb")
+    days = written(Q.merge_sketches(Q.sketch_groups(rows, ["build_id", "day"], "coulomb"), ["build_id", "day"]), "days")
+    return Q.sketch_quantiles(Q.merge_sketches(days.withColumn("chunk", F.datediff("day", F.lit("1970-01-01"))), ["build_id"]), ["build_id"], SHARES)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = lambda df: df.withColumn("value", F.abs("value"))
     parts = Q.sketch_groups(size(_energies_by_kind(spark, sf_dir)), KEYS, "value").unionByName(Q.sketch_groups(size(_neighbour_values(spark, sf_dir)), KEYS, "value"))
@@ -80,7 +87,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_quantiles": p3_quantiles, "p4_found": p4_found, "p7_found": p7_found, "p7_containers": p7_containers, "p8_found": p8_found, "p8_shares": p8_shares, "p9_found": p9_found}
+QUERIES = {"p3_found": p3_found, "p3_quantiles": p3_quantiles, "p3_by_day": p3_by_day, "p4_found": p4_found, "p7_found": p7_found, "p7_containers": p7_containers, "p8_found": p8_found, "p8_shares": p8_shares, "p9_found": p9_found}
 
 
 _CURRENT = """c AS (SELECT f.*, e.vertex1, e.vertex2, row_number() OVER (PARTITION BY f.build_id, f.frame, f.edge_key ORDER BY f.written_at DESC NULLS LAST, f.row_id DESC) AS rn
