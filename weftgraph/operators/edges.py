@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.errors import NetworkError
 from weftgraph.functions.values import finite, normalized, value_expr
+from weftgraph.operators.percentile import exact_percentile
 
 
 def member_counts(vertices: DataFrame, members: DataFrame, check: bool = False) -> DataFrame:
@@ -119,7 +120,7 @@ def auto_thresholds(analysis: DataFrame, percentile: float = 0.05, by: list[str]
     if not 0 <= percentile <= 100:
         raise ValueError("a percentile lies between 0 and 100")
     strong = analysis.where(finite(F.col("abs_value")) & (F.col("abs_value") > 0))
-    return strong.groupBy(*(by or [])).agg(F.percentile("abs_value", percentile / 100).alias("threshold"))
+    return exact_percentile(strong, by or [], "abs_value", percentile / 100, "threshold")
 
 
 def parse_threshold(text: object) -> float | None:

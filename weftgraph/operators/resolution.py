@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.errors import SelectorError
 from weftgraph.functions.selectors import atom_condition, selector_label
+from weftgraph.operators.percentile import numbered
 
 
 def check_atoms(atoms: DataFrame) -> None:
@@ -51,8 +52,7 @@ def vertex_table(assigned: DataFrame) -> DataFrame:
     """One row per vertex, numbered by its first atom from 0 on, with the attributes of that atom (atom fields of atoms only)."""
     taken = ["label", "kind", "residue_name", "residue_id", "molecule_type", "molecule_instance", "atom_nr", "atom_name", "atom_type", "charge"]
     first = assigned.groupBy("vertex_key").agg(F.min("atom_index").alias("first_atom"), F.min_by(F.struct(*taken), "atom_index").alias("a"))
-    # the one global order of this package: over vertices, never over values
-    rows = first.withColumn("vertex_id", (F.row_number().over(Window.orderBy("first_atom")) - 1).cast("long"))
+    rows = numbered(first, [F.asc("first_atom")], "vertex_id")
     only_atom = {c: F.when(F.col("a.kind") == "atom", F.col(f"a.{c}")) for c in ("atom_nr", "atom_name", "atom_type", "charge")}
     return rows.select("vertex_id", *(only_atom.get(c, F.col(f"a.{c}")).alias(c) for c in taken), F.lit(None).cast("int").alias("members"), "vertex_key")
 

@@ -15,10 +15,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftgraph.operators.percentile import exact_percentile
+
 CHUNK_READINGS = 20_000
 MAX_LONG = 100_000
 SLICES = 16
@@ -179,8 +181,7 @@ def _with_chunks(readings: DataFrame, keys: list[str], moment: str, long: DataFr
 
 
 def _long_stats(readings: DataFrame, keys: list[str], fields: dict[str, Rule], long: DataFrame) -> DataFrame:
-    """Exact median and median distance of the long series: a quantile sketch brackets the middle, the few distinct values
-    inside the bracket are counted, and the middle one is read off their running count. Nothing is gathered by series."""
+    """Exact median and median distance of the long series. Nothing is gathered by series."""
     rows = readings.join(F.broadcast(long.select(*keys)), keys)
     stats = long.select(*keys)
     for f, rule in fields.items():
@@ -189,26 +190,13 @@ def _long_stats(readings: DataFrame, keys: list[str], fields: dict[str, Rule], l
         ok = ok & (x >= rule.low if rule.low is not None else F.lit(True)) & (x <= rule.high if rule.high is not None else F.lit(True)) & ((x != 0) if rule.zero_is_normal else F.lit(True))
         moment = [c for c in readings.columns if c == "_moment"]
         v = rows.where(ok).select(*keys, *moment, x.alias("_x")).distinct()
-        mid = _exact_median(v, keys, "_x").withColumnRenamed("median", f"_centre_{f}")
+        mid = exact_percentile(v, keys, "_x", 0.5, f"_centre_{f}", few_keys=True)
         d = v.join(F.broadcast(mid), keys).select(*keys, F.abs(F.col("_x") - F.col(f"_centre_{f}")).alias("_x"))
-        spread = _exact_median(d, keys, "_x").withColumnRenamed("median", f"_spread_{f}")
+        spread = exact_percentile(d, keys, "_x", 0.5, f"_spread_{f}", few_keys=True)
         stats = stats.join(mid, keys, "left").join(spread, keys, "left")
     return stats
 
 
-def _exact_median(v: DataFrame, keys: list[str], x: str, accuracy: int = 10_000) -> DataFrame:
-    """Exact median for few keys with very many values each."""
-    half = 2 / accuracy
-    bracket = v.groupBy(*keys).agg(F.percentile_approx(x, [0.5 - half, 0.5 + half], accuracy).alias("_b"), F.count(F.lit(1)).alias("_n"))
-    inside = v.join(F.broadcast(bracket), keys).select(*keys, "_n", F.when(F.col(x) < F.col("_b")[0], F.lit(float("-inf"))).when(F.col(x) <= F.col("_b")[1], F.col(x)).otherwise(F.lit(float("inf"))).alias("_x"))
-    counts = inside.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n"))
-    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_x"))
-    lower, upper = F.floor((F.col("_n") - 1) / 2) + 1, F.floor(F.col("_n") / 2) + 1
-    c = counts.withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("_c"))
-    pick = lambda k: F.max(F.when((F.col("_from") < k) & (F.col("_to") >= k), F.col("_x")))
-    return c.groupBy(*keys).agg(((pick(lower) + pick(upper)) / 2).alias("median"))
-
-
 def implausible_readings(df: DataFrame, keys: list[str], moment: str, row_id: str, fields: dict[str, Rule], chunk_readings: int = CHUNK_READINGS) -> DataFrame:
     """Flagged readings as rows (field, key_id): key_id is ``row_id`` of the row. One row of output per flagged row and field.
 
