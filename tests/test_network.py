@@ -145,6 +145,7 @@ def test_paths_toy_graph(spark):
     for searched in (paths.shortest_distances, lambda g: paths.relaxed_distances(g, g.select("source").distinct())):
         means = {r.vertex_id: r.mean_shortest_path for r in paths.path_metrics(searched(paths.distance_graph(a, "vdw+cl"))).collect()}
         assert means == pytest.approx({0: 0.625, 1: 0.375, 2: 0.5, 3: 1, 4: 1})
+        assert {r.vertex_id: r.mean_shortest_path for r in paths.vertex_path_metrics(paths.distance_graph(a, "vdw+cl")).collect()} == pytest.approx(means)
         means = {r.vertex_id: r.mean_shortest_path for r in paths.path_metrics(searched(paths.distance_graph(a, "dvdw"))).collect()}
         assert means == pytest.approx({0: 1.25, 1: 2.25, 2: 1.5, 3: 1, 4: 1})
 

@@ -79,7 +79,7 @@ class Network:
 
     def path_metrics(self, analysis: DataFrame, value: str = "vdw+cl", target: str | None = None) -> DataFrame:
         g = paths.distance_graph(analysis, value)
-        return paths.target_path_metrics(g, self.vertices, target) if target else paths.path_metrics(paths.shortest_distances(g))
+        return paths.target_path_metrics(g, self.vertices, target) if target else paths.vertex_path_metrics(g)
 
     def region_interactions(self, selectors: Sequence[str], labels: Sequence[str] | None = None, value: str = "vdw+cl", normalization: str = "none") -> DataFrame:
         r = regions.resolve_regions(self.vertices, selectors, labels)

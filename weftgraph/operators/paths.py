@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ from weftgraph.session import written
 
 EPSILON = 2.220446049250313e-16
 #: Directed arcs of one network that a single task may hold for its searches.
-MAX_TASK_ARCS = 4_000_000
+MAX_TASK_ARCS = 1_000_000
 SOURCES_PER_TASK = 64
 
 
@@ -42,6 +44,17 @@ def _dijkstra(arcs: dict[int, list[tuple[int, float]]], source: int) -> dict[int
     return best
 
 
+def _prepared(graph: DataFrame, sources: DataFrame | None, by: list[str]) -> tuple[DataFrame, DataFrame, bool]:
+    """The stored graph, its sources, and whether the arcs of every network fit one task."""
+    graph = written(graph, "graph")
+    sizes = graph.groupBy(*by).agg(F.count(F.lit(1)).alias("arcs"))
+    largest = sizes.agg(F.max("arcs")).first()[0] or 0
+    starts = graph.select(*by, "source").distinct()
+    if sources is not None:
+        starts = starts.join(sources, [*[c for c in by if c in sources.columns], "source"], "left_semi")
+    return graph, starts, largest <= MAX_TASK_ARCS
+
+
 def shortest_distances(graph: DataFrame, sources: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
     """Shortest distances from the sources (all vertices if None) to every other vertex they reach: source, target, distance.
 
@@ -49,18 +62,36 @@ def shortest_distances(graph: DataFrame, sources: DataFrame | None = None, by: l
     round as joins, so that no task holds the graph.
     """
     by = by or []
-    graph = written(graph, "graph")
-    sizes = graph.groupBy(*by).agg(F.count(F.lit(1)).alias("arcs"))
-    largest = sizes.agg(F.max("arcs")).first()[0] or 0
-    starts = graph.select(*by, "source").distinct()
-    if sources is not None:
-        starts = starts.join(sources, [*[c for c in by if c in sources.columns], "source"], "left_semi")
-    if largest > MAX_TASK_ARCS:
+    graph, starts, fits = _prepared(graph, sources, by)
+    if not fits:
         return relaxed_distances(graph, starts, by)
-    return _searched(graph, starts, by)
+    schema = _schema(graph, [*by, "source", "target"]) + ", distance double"
+    return _searched(graph, starts, by, schema, lambda v, found: [(v, w, d) for w, d in found])
+
+
+def vertex_path_metrics(graph: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``path_metrics`` of all vertices. Distances are summed up where they are found, so one row per vertex leaves the task
+    rather than one per pair."""
+    by = by or []
+    graph, starts, fits = _prepared(graph, None, by)
+    if not fits:
+        return path_metrics(relaxed_distances(graph, starts, by), by)
+    schema = _schema(graph, by) + ", " * bool(by) + "vertex_id int, reachable_vertices long, mean_shortest_path double, median_shortest_path double, min_shortest_path double, max_shortest_path double"
+
+    def stats(v: int, found: list[tuple[int, float]]) -> list[tuple]:
+        if not found:
+            return []
+        d = np.array([x for _, x in found])
+        return [(v, len(d), d.mean(), np.median(d), d.min(), d.max())]
+
+    return _searched(graph, starts, by, schema, stats)
+
+
+def _schema(graph: DataFrame, columns: list[str]) -> str:
+    return ", ".join(f"{c} {graph.schema[c].dataType.simpleString()}" for c in columns)
 
 
-def _searched(graph: DataFrame, starts: DataFrame, by: list[str]) -> DataFrame:
+def _searched(graph: DataFrame, starts: DataFrame, by: list[str], schema: str, rows_of: Callable[[int, list[tuple[int, float]]], list[tuple]]) -> DataFrame:
     """One group per network and block of sources; a group holds its network's arcs once and its block of sources."""
     block = F.pmod(F.xxhash64("source"), F.col("blocks").cast("long")).alias("block")
     blocks = starts.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / SOURCES_PER_TASK).cast("int").alias("blocks"))
@@ -71,8 +102,6 @@ def _searched(graph: DataFrame, starts: DataFrame, by: list[str]) -> DataFrame:
         s, g = starts.withColumn("blocks", n), graph.withColumn("blocks", n)
     s = s.select(*by, block, "source", F.lit(None).cast(graph.schema["target"].dataType).alias("target"), F.lit(None).cast("double").alias("distance"))
     g = g.select(*by, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"), "source", "target", "distance")
-    keys = [*by, "block"]
-    both = s.unionByName(g)
 
     def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         arcs: dict[int, list[tuple[int, float]]] = {}
@@ -80,11 +109,11 @@ def _searched(graph: DataFrame, starts: DataFrame, by: list[str]) -> DataFrame:
         real = pdf[pdf["target"].notna()]
         for a, b, d in zip(real["source"].tolist(), real["target"].tolist(), real["distance"].tolist(), strict=True):
             arcs.setdefault(int(a), []).append((int(b), d))
-        out = [(*key[:-1], int(v), w, d) for v in from_here for w, d in _dijkstra(arcs, int(v)).items() if w != v]
-        return pd.DataFrame(out, columns=[*by, "source", "target", "distance"])
+        out = [(*key[:-1], *row) for v in from_here.tolist() for row in rows_of(int(v), [(w, d) for w, d in _dijkstra(arcs, int(v)).items() if w != v])]
+        return pd.DataFrame(out, columns=names)
 
-    schema = ", ".join(f"{c} {graph.schema[c].dataType.simpleString()}" for c in [*by, "source", "target"]) + ", distance double"
-    return both.groupBy(*keys).applyInPandas(search, schema)
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    return s.unionByName(g).groupBy(*by, "block").applyInPandas(search, schema)
 
 
 def relaxed_distances(graph: DataFrame, starts: DataFrame, by: list[str] | None = None, most_rounds: int = 64) -> DataFrame:

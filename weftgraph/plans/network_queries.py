@@ -437,7 +437,7 @@ _STATS = [f"{s}_shortest_path" for s in ("mean", "median", "min", "max")]
 
 def _path_metrics(spark: SparkSession, sf_dir: str, value: str = "vdw+cl") -> DataFrame:
     g = paths.distance_graph(analysis(spark, sf_dir, value), value, BY)
-    return paths.path_metrics(paths.shortest_distances(g, by=BY), BY)
+    return paths.vertex_path_metrics(g, BY)
 
 
 @query("shortest_path_vertex", f"WITH {distances_sql('vdw+cl')} SELECT build_id, s AS vertex_id, {_PATH} FROM d{SQUARINGS} WHERE s <> t GROUP BY build_id, s")
