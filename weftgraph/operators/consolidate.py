@@ -7,9 +7,12 @@ output file. A manifest keeps offset, length and checksum of every body; reading
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.session import shared_folder
@@ -106,21 +109,28 @@ def read_bodies(spark: SparkSession, packs: Consolidated) -> DataFrame:
     if manifest.count() <= BROADCAST_BODIES:  # else the contents, one row a pack, are shuffled to their manifests
         parts = F.broadcast(parts)
     joined = files.join(parts, ["cls", "pack"], "full")
-    whole = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["length"] + 1)
-    name = F.concat(F.lit("pack "), F.col("cls"), F.lit("/"), F.col("pack").cast("string"))
-    fits = F.coalesce(F.octet_length("content") == whole, F.lit(False))
-
-    def body(p: Column) -> Column:
-        cut = F.substring("content", p["offset"].cast("int") + 1, p["length"])
-        end = F.substring("content", (p["offset"] + p["length"]).cast("int") + 1, F.lit(1))
-        sound = (F.crc32(cut) == p["crc"]) & (end == F.lit(b"\n"))
-        text = F.when(sound, F.decode(cut, "UTF-8")).otherwise(F.raise_error(F.concat(name, F.lit(": checksum differs"))))
-        return F.struct(p["part"].alias("part"), p["build_id"].alias("build_id"), p["file_id"].alias("file_id"), text.alias("body"))
-
-    bodies = F.when(fits, F.transform("parts", body)).otherwise(F.raise_error(F.concat(name, F.lit(" has a wrong length"))))
-    cut = joined.select("cls", bodies.alias("b"))
-    head = F.coalesce(F.when(F.col("b")[0]["part"] == 0, F.col("b")[0]["body"]), F.lit(""))
-    return cut.select("cls", head.alias("header"), F.explode("b").alias("b")).where("b.part = 1").select("cls", "header", "b.build_id", "b.file_id", "b.body")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Slices of the contents, without copying them. Arrow batches are bounded in bytes, so about one pack is held at a time."""
+        for batch in batches:
+            for cls, pack, content, parts in zip(*(batch.column(c) for c in ("cls", "pack", "content", "parts")), strict=True):
+                name, pieces = f"pack {cls}/{pack}", parts.as_py() or []
+                data = memoryview(content.as_buffer() or b"")
+                if not pieces or len(data) != sum(p["length"] + 1 for p in pieces):
+                    raise ValueError(f"{name} has a wrong length")
+                bodies = []
+                for p in pieces:
+                    end = p["offset"] + p["length"]
+                    if zlib.crc32(data[p["offset"] : end]) != p["crc"] or data[end] != 10:
+                        raise ValueError(f"{name}: checksum differs at {p['offset']}")
+                    bodies.append(str(data[p["offset"] : end], "utf-8"))
+                header = bodies[0] if pieces[0]["part"] == 0 else ""
+                for k in range(int(pieces[0]["part"] == 0), len(bodies), 5000):
+                    some = pieces[k : k + 5000]
+                    columns = [pa.array([cls.as_py()] * len(some)), pa.array([header] * len(some)), pa.array([p["build_id"] for p in some], pa.int64()), pa.array([p["file_id"] for p in some], pa.int64()), pa.array(bodies[k : k + 5000], pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["cls", "header", "build_id", "file_id", "body"])
+
+    return joined.mapInArrow(cut, "cls string, header string, build_id long, file_id long, body string")
 
 
 def value_records(bodies: DataFrame) -> DataFrame:
