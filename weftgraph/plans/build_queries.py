@@ -106,10 +106,15 @@ def _energies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.pair_energies(close, _vdw_types(spark, sf_dir), RVDW, RCOULOMB)
 
 
-@query("pair_energies", f"WITH {ENERGY_SQL} SELECT frame, i, j, round(vdw, 6) AS vdw, round(coulomb, 4) AS coulomb, round(vdw_dif, 4) AS vdw_dif, round(coulomb_dif, 3) AS coulomb_dif FROM en WHERE r > 0.02")
+DIGITS = {"vdw": 6, "coulomb": 4, "vdw_dif": 4, "coulomb_dif": 3}
+#: Energies of atoms nearly on top of each other are cut to this, as their last digits mean nothing.
+LIMIT = 1e4
+
+
+@query("pair_energies", f"WITH {ENERGY_SQL} SELECT frame, i, j, " + ", ".join(f"round(greatest(-{LIMIT}, least({LIMIT}, {c})), {d}) AS {c}" for c, d in DIGITS.items()) + " FROM en")
 def pair_energies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _energies(spark, sf_dir).where("r > 0.02").select("frame", "i", "j", "vdw", "coulomb", "vdw_dif", "coulomb_dif")
-    return rounded(rounded(rounded(e, "vdw", digits=6), "coulomb", "vdw_dif"), "coulomb_dif", digits=3)
+    cut = lambda c: F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.col(c)))
+    return _energies(spark, sf_dir).select("frame", "i", "j", *(F.round(cut(c), d).alias(c) for c, d in DIGITS.items()))
 
 
 @query(
