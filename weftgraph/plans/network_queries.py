@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 from dataclasses import dataclass
 from functools import partial
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions.selectors import vertex_condition
-from weftgraph.functions.values import NORMALIZATIONS, VALUE_COLUMNS, radius
+from weftgraph.functions.values import NORMALIZATIONS, VALUE_COLUMNS, finite, radius
 from weftgraph.operators import edges as E
 from weftgraph.operators import info, neighbors, paths, regions, viewer
 from weftgraph.operators.latest import current_rows
@@ -20,11 +21,14 @@ BY = ["build_id"]
 ENERGIES = ("vdw", "coulomb", "vdw_dif", "coulomb_dif")
 #: Energies beyond this are broken readings; a single one would drown the mean of its edge.
 PLAUSIBLE = 1e5
+#: Set while a query named ..._whole makes its plan: all current rows count.
+_ALL_ROWS: ContextVar[bool] = ContextVar("all_rows", default=False)
 
 
 @dataclass
 class Networks:
-    """The tables of all builds. Values are the current rows whose four energies are all finite and below ``PLAUSIBLE``."""
+    """The tables of all builds. Values are the current rows whose four energies are all finite and below ``PLAUSIBLE``; for the
+    queries named ..._whole all current rows, in which an energy that is no finite number is null and so left out of its sums."""
 
     values: DataFrame
     edges: DataFrame
@@ -35,6 +39,9 @@ class Networks:
 def networks(spark: SparkSession, sf_dir: str) -> Networks:
     edges = table(spark, sf_dir, "edges")
     rows = current_rows(table(spark, sf_dir, "frame_values"), edges, [*ENERGIES, "n_atom_pairs"])
+    if _ALL_ROWS.get():
+        values = rows.select("build_id", "frame", "edge_key", *(F.when(finite(F.col(c)), F.col(c)).alias(c) for c in ENERGIES), "n_atom_pairs")
+        return Networks(values, edges, table(spark, sf_dir, "vertices"), table(spark, sf_dir, "vertex_members"))
     good = " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c}) AND abs({c}) < {PLAUSIBLE}" for c in ENERGIES)
     values = rows.where(good).select("build_id", "frame", "edge_key", *ENERGIES, "n_atom_pairs")
     return Networks(values, edges, table(spark, sf_dir, "vertices"), table(spark, sf_dir, "vertex_members"))
@@ -558,3 +565,25 @@ def stream_frame_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = spark.read.parquet(f"{sf_dir}/frame_values.parquet").inputFiles()[0].rpartition("/")[0]
     single = not folder.endswith("frame_values.parquet")
     return rounded(totals(spark, folder, "frame_values.parquet" if single else None), "coulomb", digits=3)
+
+
+# --- the same over all current rows ----------------------------------------------------------------------------------
+
+WHOLE_SQL = VALUES_SQL.replace(
+    "v AS (SELECT * FROM c WHERE rn = 1 AND abs(vdw) < 1e5 AND abs(coulomb) < 1e5 AND abs(vdw_dif) < 1e5 AND abs(coulomb_dif) < 1e5)",
+    "v AS (SELECT * REPLACE (" + ", ".join(f"CASE WHEN isfinite({c}) THEN {c} END AS {c}" for c in ENERGIES) + ") FROM c WHERE rn = 1)",
+)
+
+
+def _whole(f: Query, spark: SparkSession, sf_dir: str) -> DataFrame:
+    token = _ALL_ROWS.set(True)
+    try:
+        return f(spark, sf_dir)
+    finally:
+        _ALL_ROWS.reset(token)
+
+
+for _n, _q in list(SQL.items()):
+    if VALUES_SQL in _q:
+        # an edge whose readings are all unusable is there, with 0 as in edge_analysis
+        query(f"{_n}_whole", _q.replace(VALUES_SQL, WHOLE_SQL).replace("vs / nf AS value_raw", "coalesce(vs, 0.0) / nf AS value_raw"))(partial(_whole, QUERIES[_n]))
