@@ -1,6 +1,7 @@
 """Queries over coordinates and atoms: the steps that build a network, with SQL that gives the same rows.
 
-Atoms come from the parts; coordinates of a frame from three components of the embeddings.
+Atoms come from the parts; coordinates of a frame from three components of the embeddings. The queries over coordinates read
+the first ``FRAMES`` frames; those named ..._whole all that the embeddings hold.
 """
 
 from __future__ import annotations
@@ -29,10 +30,14 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """frame, atom_index, x, y, z, atom_type and charge: one atom per embedding, one frame per three components."""
+def positions(spark: SparkSession, sf_dir: str, frames: int | None = FRAMES) -> DataFrame:
+    """frame, atom_index, x, y, z, atom_type and charge: one atom per embedding, one frame per three components, all if None."""
     e = table(spark, sf_dir, "embeddings")
-    rows = e.select(F.col("vec_id").cast("int").alias("atom_index"), "label", "embedding", F.explode(F.sequence(F.lit(0), F.lit(FRAMES - 1))).alias("frame"))
+    if frames is None:
+        e, last = e.where("size(embedding) >= 3"), F.expr("CAST(size(embedding) div 3 - 1 AS INT)")
+    else:
+        last = F.lit(frames - 1)
+    rows = e.select(F.col("vec_id").cast("int").alias("atom_index"), "label", "embedding", F.explode(F.sequence(F.lit(0), last)).alias("frame"))
     at = lambda k: F.get("embedding", F.col("frame") * 3 + k).cast("double")
     charge = (F.pmod("atom_index", F.lit(3)) - 1).cast("double")
     return rows.select("frame", "atom_index", at(0).alias("x"), at(1).alias("y"), at(2).alias("z"), F.col("label").cast("string").alias("type"), charge.alias("charge"), F.expr("atom_index div 5").cast("int").alias("vertex_id"))
@@ -42,6 +47,12 @@ POSITIONS_SQL = f"""p AS (SELECT f.frame, CAST(vec_id AS INT) AS atom_index, CAS
   CAST(label AS VARCHAR) AS type, CAST(vec_id % 3 - 1 AS DOUBLE) AS charge, CAST(vec_id // 5 AS INT) AS vertex_id FROM embeddings CROSS JOIN (SELECT CAST(unnest(range(0, {FRAMES})) AS INT) AS frame) f)"""
 
 
+def whole_sql(sql: str) -> str:
+    """``sql`` over all frames that the embeddings hold."""
+    some = f"embeddings CROSS JOIN (SELECT CAST(unnest(range(0, {FRAMES})) AS INT) AS frame) f"
+    return sql.replace(some, "(SELECT *, CAST(unnest(range(0, len(embedding) // 3)) AS INT) AS frame FROM embeddings) f")
+
+
 def pairs_sql(cutoff: float, side: float | None) -> str:
     d = {a: f"(a.{a} - b.{a})" if side is None else f"((a.{a} - b.{a}) - {side} * round_even((a.{a} - b.{a}) / {side}, 0))" for a in "xyz"}
     r2 = " + ".join(f"{d[a]} * {d[a]}" for a in "xyz")
@@ -49,23 +60,25 @@ def pairs_sql(cutoff: float, side: float | None) -> str:
   FROM p a JOIN p b ON a.frame = b.frame AND a.atom_index < b.atom_index WHERE {r2} <= {cutoff} * {cutoff})"""
 
 
-def boxes(spark: SparkSession, side: float) -> DataFrame:
-    return spark.range(FRAMES).select(F.col("id").cast("int").alias("frame"), *(F.lit(side).alias(f"l{a}") for a in "xyz"))
+def boxes(pos: DataFrame, side: float) -> DataFrame:
+    return pos.select("frame").distinct().select("frame", *(F.lit(side).alias(f"l{a}") for a in "xyz"))
 
 
-def _pairs(cutoff: float, side: float | None, spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pairs.pairs_within(positions(spark, sf_dir), cutoff, None if side is None else boxes(spark, side), ["type", "charge", "vertex_id"])
-    return found
+def _pairs(cutoff: float, side: float | None, spark: SparkSession, sf_dir: str, frames: int | None = FRAMES) -> DataFrame:
+    pos = positions(spark, sf_dir, frames)
+    return pairs.pairs_within(pos, cutoff, None if side is None else boxes(pos, side), ["type", "charge", "vertex_id"])
 
 
-def _counted(cutoff: float, side: float | None, spark: SparkSession, sf_dir: str) -> DataFrame:
+def _counted(cutoff: float, side: float | None, frames: int | None, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of every frame and atom with the sum of their distances."""
-    return rounded(_pairs(cutoff, side, spark, sf_dir).groupBy("frame", "i").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("r").alias("sum_r")), "sum_r", digits=5)
+    return rounded(_pairs(cutoff, side, spark, sf_dir, frames).groupBy("frame", "i").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("r").alias("sum_r")), "sum_r", digits=5)
 
 
 _COUNT = "SELECT frame, i, count(*) AS n_pairs, round(sum(sqrt(r2)), 5) AS sum_r FROM q GROUP BY frame, i"
 for _name, _cut, _side in (("periodic", 0.12, 1.0), ("open", 0.12, None), ("two_cells", 0.2, 0.5), ("one_cell", 0.25, 0.3)):
-    query(f"pair_join_cutoff_{_name}", f"WITH {pairs_sql(_cut, _side)} {_COUNT}")(partial(_counted, _cut, _side))
+    _sql = f"WITH {pairs_sql(_cut, _side)} {_COUNT}"
+    query(f"pair_join_cutoff_{_name}", _sql)(partial(_counted, _cut, _side, FRAMES))
+    query(f"pair_join_cutoff_{_name}_whole", whole_sql(_sql))(partial(_counted, _cut, _side, None))
 
 
 def _vdw_types(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,13 +109,13 @@ en AS (SELECT frame, i, j, r, vertex_id_i, vertex_id_j, CASE WHEN r <= {RVDW} TH
   CASE WHEN r <= {RVDW} THEN 24 * epsilon / r * (pow(sigma / r, 6) - 2 * pow(sigma / r, 12)) ELSE 0.0 END AS vdw_dif, CASE WHEN r <= {RCOULOMB} THEN -138.935458 * charge_i * charge_j / (r * r) ELSE 0.0 END AS coulomb_dif FROM e)"""
 
 
-def _energies(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _energies(spark: SparkSession, sf_dir: str, frames: int | None = FRAMES) -> DataFrame:
     """Energies of pairs between different vertices; successive atoms of a molecule (ten atoms) are excluded."""
-    pos = positions(spark, sf_dir)
+    pos = positions(spark, sf_dir, frames)
     excluded = pos.where("frame = 0 AND atom_index % 10 < 9").select(F.col("atom_index").alias("i"), (F.col("atom_index") + 1).alias("j"))
     atoms = pos.where("frame = 0").select("atom_index", F.col("type").alias("atom_type"), "charge", F.expr("atom_index div 10").alias("molecule_instance"), F.lit("M").alias("molecule_type"))
     members = pos.where("frame = 0").select("atom_index", "vertex_id")
-    close = pairs.interacting_pairs(pos.select("frame", "atom_index", "x", "y", "z"), atoms, members, excluded, max(RVDW, RCOULOMB), boxes(spark, 1.0))
+    close = pairs.interacting_pairs(pos.select("frame", "atom_index", "x", "y", "z"), atoms, members, excluded, max(RVDW, RCOULOMB), boxes(pos, 1.0))
     return pairs.pair_energies(close, _vdw_types(spark, sf_dir), RVDW, RCOULOMB)
 
 
@@ -128,6 +141,18 @@ def frame_edge_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(exact.join(stored, ["frame", "edge_key"]), "coulomb", digits=3)
 
 
+@query("pair_energies_whole")
+def pair_energies_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of all frames with their energies as they are. No SQL: the last digits of close pairs differ."""
+    return _energies(spark, sf_dir, None).select("frame", "i", "j", *DIGITS)
+
+
+@query("frame_edge_values_whole")
+def frame_edge_values_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The value table of all frames as the operator makes it, with all four sums."""
+    return pairs.frame_edge_values(_energies(spark, sf_dir, None), 1_000_000)
+
+
 # --- atoms and vertices: parts as atoms, their brands as molecules, their sizes as residues -----------------------------
 
 ATOMS_SQL = """ta AS (SELECT CAST(p_partkey AS INT) AS atom_index, CAST(p_partkey + 1 AS INT) AS atom_nr, CAST(p_size AS INT) AS residue_id, upper(substr(p_type, 1, 3)) AS residue_name,
@@ -224,12 +249,17 @@ def scale_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(c.select("cand_id", s.alias("score")), "score", digits=3)
 
 
-@query(
-    "scale_hypotheses",
+SCALE_SQL = (
     f"WITH {pairs_sql(0.12, None)}, h AS (SELECT frame, sqrt(r2) AS d, s.u, s.k FROM q CROSS JOIN (SELECT 'nm' AS u, 1.0 AS k UNION ALL SELECT 'angstrom', 0.1) s WHERE r2 > 0) SELECT frame, u AS inferred_input_unit, count(*) AS n_pairs_sampled, round(median(d), 6) AS median_input, round(quantile_cont(d * k, 0.01), 6) AS p01_nm, round(quantile_cont(d * k, 0.05), 6) AS p05_nm, "
-    "round(quantile_cont(d * k, 0.5), 6) AS p50_nm, round(quantile_cont(d * k, 0.95), 6) AS p95_nm, round(avg(CASE WHEN d * k < 0.08 THEN 1.0 ELSE 0.0 END), 6) AS too_close_fraction_nm FROM h GROUP BY frame, u",
+    "round(quantile_cont(d * k, 0.5), 6) AS p50_nm, round(quantile_cont(d * k, 0.95), 6) AS p95_nm, round(avg(CASE WHEN d * k < 0.08 THEN 1.0 ELSE 0.0 END), 6) AS too_close_fraction_nm FROM h GROUP BY frame, u"
 )
-def scale_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _pairs(0.12, None, spark, sf_dir).where("r2 > 0").select("frame", F.col("r").alias("distance"))
+
+
+def _hypotheses(frames: int | None, spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _pairs(0.12, None, spark, sf_dir, frames).where("r2 > 0").select("frame", F.col("r").alias("distance"))
     h = scale.scale_hypotheses(d, CUTOFF_NM, ["frame"]).drop("scale_to_nm", "cutoff_fraction_nm", "score")
     return rounded(h, "median_input", "p01_nm", "p05_nm", "p50_nm", "p95_nm", "too_close_fraction_nm", digits=6)
+
+
+query("scale_hypotheses", SCALE_SQL)(partial(_hypotheses, FRAMES))
+query("scale_hypotheses_whole", whole_sql(SCALE_SQL))(partial(_hypotheses, None))
