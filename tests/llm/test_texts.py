@@ -33,6 +33,13 @@ def test_spaced_scripts(want):
     assert sentences_of(" ".join(want), D) == want
 
 
+def test_long_spans_are_weighed_whole():
+    long = "The list (" + " ".join(f"e.g. part {k}" for k in range(40)) + ") is whole."
+    assert sentences_of(f"{long} Next one.", D) == [long, "Next one."]
+    many = [f'He wrote "part {k} by A. B. Roe" to (us).' for k in range(3000)]
+    assert sentences_of(" ".join(many), D) == many
+
+
 @pytest.mark.parametrize(
     "want",
     [

@@ -45,7 +45,6 @@ THAI = re.compile(r"[฀-๿]")
 SURE, OPEN_COST, ENUM_COST = 8.0, 6.0, 12.0
 #: A dictionary word has at most this many characters; the counted dictionary holds at most DICTIONARY_WORDS words.
 WORD_LENGTH, DICTIONARY_WORDS = 6, 20_000
-MAX_SPAN_GAPS = 24
 
 
 def blocks_of(body: str) -> list[str]:
@@ -107,17 +106,45 @@ def _reported(rest: str) -> bool:
     return any(v in clause.split() for v in REPORTING)
 
 
-def _open_marks(span: str) -> float:
-    """Quotes and brackets that a span opens without closing or closes without opening."""
-    if not re.search(r"[\"“”„«»()\[\]（）「」『』]", span):
-        return 0.0
-    span = re.sub(r"(?:(?<=\s)|^)\w{1,2}\)|[:;]-?[()]", "", span)
-    round_ = abs(span.count("(") + span.count("（") - span.count(")") - span.count("）"))
-    angle = abs(span.count("«") - span.count("»"))
-    german = span.count("„")
-    curly = abs(german - span.count("“")) if german else abs(span.count("“") - span.count("”"))
-    corner = abs(span.count("「") - span.count("」")) + abs(span.count("『") - span.count("』"))
-    return round_ + angle + curly + corner + span.count('"') % 2
+_NO_MARK = re.compile(r"(?:(?<=\s)|^)\w{1,2}\)|[:;]-?[()]")
+_OPEN_MARK = re.compile(r"[\"“”„«»()（）「」『』]")
+#: what a mark adds to the balances of round, angle and the two kinds of corner brackets
+_BALANCE = {"(": (0, 1), "（": (0, 1), ")": (0, -1), "）": (0, -1), "«": (1, 1), "»": (1, -1), "「": (2, 1), "」": (2, -1), "『": (3, 1), "』": (3, -1)}
+State = tuple[int, int, int, int, int, int, int]
+
+
+def _states(block: str, gaps: list[int]) -> list[tuple[int, State]]:
+    """At each gap the German opening quotes so far, and the balances of brackets, German and curly quotes and the parity of
+    straight quotes. Emoticons and enumerators like "a)" count for nothing; they hold no blank, so no gap lies in one."""
+    skipped = {k for m in _NO_MARK.finditer(block) for k in range(m.start(), m.end())}
+    marks = [(m.start(), m[0]) for m in _OPEN_MARK.finditer(block) if m.start() not in skipped]
+    out, now, german, at, any_german = [], [0] * 7, 0, 0, "„" in block
+    for g in gaps:
+        while at < len(marks) and marks[at][0] < g:
+            c = marks[at][1]
+            if c in _BALANCE:
+                k, d = _BALANCE[c]
+                now[k] += d
+            elif c == '"':
+                now[4] ^= 1
+            elif c == "„":
+                german += 1
+                now[5] += 1
+            elif c == "“":
+                now[5] -= any_german
+                now[6] += 1
+            else:
+                now[6] -= 1
+            at += 1
+        out.append((german, tuple(now)))
+    return out
+
+
+def _open_marks(a: State, b: State, german: bool) -> int:
+    """Quotes and brackets that a span from state ``a`` to ``b`` opens without closing or closes without opening; ``german``
+    if it holds a German opening quote."""
+    q = 5 if german else 6
+    return abs(a[0] - b[0]) + abs(a[1] - b[1]) + abs(a[2] - b[2]) + abs(a[3] - b[3]) + (a[4] ^ b[4]) + abs(a[q] - b[q])
 
 
 def spaced_sentences(block: str) -> list[str]:
@@ -137,17 +164,40 @@ def spaced_sentences(block: str) -> list[str]:
         return [*out, block[cut:].strip()]
     gaps.append(len(block))
     costs.append((0.0, 0.0))
-    best, back = [0.0] + [math.inf] * (len(gaps) - 1), [0] * len(gaps)
+    # What a span costs beyond its ends depends on the states there only, so of the gaps in one state just the best is kept: the
+    # work is in proportion to the gaps times the states, however long a span. Ties go to the shortest span.
+    states = _states(block, gaps)
+    back, before, bridged = [0] * len(gaps), 0.0, 0.0  # best cost up to the last gap; costs of going on at all gaps up to it
+    with_german: dict[State, tuple[float, int]] = {}  # a German quote opens between these gaps and here
+    without: dict[State, tuple[float, int]] = {}
+
+    def keep(into: dict[State, tuple[float, int]], state: State, v: float, i: int) -> None:
+        if state not in into or (v, -i) < (into[state][0], -into[state][1]):
+            into[state] = v, i
+
     for j in range(1, len(gaps)):
-        bridged = 0.0
-        for i in range(j - 1, -1, -1):
-            span = block[gaps[i] : gaps[j]]
-            c = best[i] + bridged + costs[j][0] + OPEN_COST * _open_marks(span) + (ENUM_COST if _ENUMERATOR.match(span.strip()) else 0.0)
-            if c < best[j]:
-                best[j], back[j] = c, i
-            bridged += costs[i][1]
-            if j - i >= MAX_SPAN_GAPS and best[j] < math.inf:
-                break
+        german, to = states[j]
+        end = costs[j][0]
+        least = before + end + OPEN_COST * _open_marks(states[j - 1][1], to, german > states[j - 1][0])
+        if _ENUMERATOR.match(block[gaps[j - 1] : gaps[j]].strip()):  # a longer span holds a blank
+            least += ENUM_COST
+        at = j - 1
+        if german > states[j - 1][0]:
+            for state, (v, i) in without.items():
+                keep(with_german, (*state[:6], 0), v, i)
+            without = {}
+        for group, quotes in ((without, False), (with_german, True)):
+            for state, (v, i) in group.items():
+                c = v + bridged + end + OPEN_COST * _open_marks(state, to, quotes)
+                if (c, -i) < (least, -at):
+                    least, at = c, i
+        last = states[j - 1]
+        if german > last[0]:
+            keep(with_german, (*last[1][:6], 0), before - bridged, j - 1)
+        else:
+            keep(without, last[1], before - bridged, j - 1)
+        back[j], before = at, least
+        bridged += costs[j][1]
     cuts, j = [], len(gaps) - 1
     while j:
         cuts.append((gaps[back[j]], gaps[j]))
@@ -262,8 +312,8 @@ def dictionary_of(counts: list[tuple[str, int, int]]) -> dict[str, float]:
 def sentences(documents: DataFrame) -> DataFrame:
     """Distinct (doc_id, sentence) of the plain bodies of ``documents`` (doc_id, text; other columns are ignored).
 
-    Messages that are null, empty or without a plain text part give no row. A block without end mark is one sentence; very long
-    blocks are cut as a whole. Repeated messages give their sentences under each doc_id.
+    Messages that are null, empty or without a plain text part give no row. A block without end mark is one sentence;
+    spans of any length are weighed. Repeated messages give their sentences under each doc_id.
     """
     blocks = written(mail_blocks(documents), "blocks")
     top = opening_words(blocks).orderBy(F.desc("n"), "word").limit(DICTIONARY_WORDS)
