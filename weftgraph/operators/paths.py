@@ -44,15 +44,19 @@ def _dijkstra(arcs: dict[int, list[tuple[int, float]]], source: int) -> dict[int
     return best
 
 
-def _prepared(graph: DataFrame, sources: DataFrame | None, by: list[str]) -> tuple[DataFrame, DataFrame, bool]:
-    """The stored graph, its sources, and whether the arcs of every network fit one task."""
+def _prepared(graph: DataFrame, sources: DataFrame | None, by: list[str]) -> tuple[tuple[DataFrame, DataFrame] | None, tuple[DataFrame, DataFrame] | None]:
+    """The stored graph and its sources, for the networks whose arcs fit one task and for the others; None where there are none."""
     graph = written(graph, "graph")
-    sizes = graph.groupBy(*by).agg(F.count(F.lit(1)).alias("arcs"))
-    largest = sizes.agg(F.max("arcs")).first()[0] or 0
+    large = graph.groupBy(*by).agg(F.count(F.lit(1)).alias("arcs")).where(F.col("arcs") > MAX_TASK_ARCS)
     starts = graph.select(*by, "source").distinct()
     if sources is not None:
         starts = starts.join(sources, [*[c for c in by if c in sources.columns], "source"], "left_semi")
-    return graph, starts, largest <= MAX_TASK_ARCS
+    if large.isEmpty():
+        return (graph, starts), None
+    if not by:
+        return None, (graph, starts)
+    small, rest = (tuple(df.join(large, by, how) for df in (graph, starts)) for how in ("left_anti", "left_semi"))
+    return small, rest
 
 
 def shortest_distances(graph: DataFrame, sources: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
@@ -62,20 +66,19 @@ def shortest_distances(graph: DataFrame, sources: DataFrame | None = None, by: l
     round as joins, so that no task holds the graph.
     """
     by = by or []
-    graph, starts, fits = _prepared(graph, sources, by)
-    if not fits:
-        return relaxed_distances(graph, starts, by)
+    small, large = _prepared(graph, sources, by)
     schema = _schema(graph, [*by, "source", "target"]) + ", distance double"
-    return _searched(graph, starts, by, schema, lambda v, found: [(v, w, d) for w, d in found])
+    found = [_searched(*small, by, schema, lambda v, found: [(v, w, d) for w, d in found])] if small else []
+    if large:
+        found.append(relaxed_distances(*large, by))
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 
 def vertex_path_metrics(graph: DataFrame, by: list[str] | None = None) -> DataFrame:
     """``path_metrics`` of all vertices. Distances are summed up where they are found, so one row per vertex leaves the task
     rather than one per pair."""
     by = by or []
-    graph, starts, fits = _prepared(graph, None, by)
-    if not fits:
-        return path_metrics(relaxed_distances(graph, starts, by), by)
+    small, large = _prepared(graph, None, by)
     schema = _schema(graph, by) + ", " * bool(by) + "vertex_id int, reachable_vertices long, mean_shortest_path double, median_shortest_path double, min_shortest_path double, max_shortest_path double"
 
     def stats(v: int, found: list[tuple[int, float]]) -> list[tuple]:
@@ -84,7 +87,10 @@ def vertex_path_metrics(graph: DataFrame, by: list[str] | None = None) -> DataFr
         d = np.array([x for _, x in found])
         return [(v, len(d), d.mean(), np.median(d), d.min(), d.max())]
 
-    return _searched(graph, starts, by, schema, stats)
+    found = [_searched(*small, by, schema, stats)] if small else []
+    if large:
+        found.append(path_metrics(relaxed_distances(*large, by), by))
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 
 def _schema(graph: DataFrame, columns: list[str]) -> str:
@@ -116,17 +122,17 @@ def _searched(graph: DataFrame, starts: DataFrame, by: list[str], schema: str, r
     return s.unionByName(g).groupBy(*by, "block").applyInPandas(search, schema)
 
 
-def relaxed_distances(graph: DataFrame, starts: DataFrame, by: list[str] | None = None, most_rounds: int = 64) -> DataFrame:
+def relaxed_distances(graph: DataFrame, starts: DataFrame, by: list[str] | None = None) -> DataFrame:
     """The same by rounds of joins: each round extends what the last one improved by one arc and keeps the shortest.
 
-    Every round is written to the shared folder; it ends when nothing improves.
+    Every round is written to the shared folder; it ends when nothing improves, which positive lengths make sure of.
     """
     by = by or []
     best = starts.select(*by, "source", F.col("source").alias("target"), F.lit(0.0).alias("distance"))
     frontier = best
     arcs = graph.select(*by, F.col("source").alias("target"), F.col("target").alias("next"), F.col("distance").alias("length"))
     key = [*by, "source", "target"]
-    for _ in range(most_rounds):
+    while True:
         step = frontier.join(arcs, [*by, "target"]).groupBy(*by, "source", F.col("next").alias("target")).agg(F.min(F.col("distance") + F.col("length")).alias("distance"))
         merged = best.withColumn("is_new", F.lit(False)).unionByName(step.withColumn("is_new", F.lit(True)))
         merged = merged.groupBy(*key).agg(F.min("distance").alias("distance"), F.min(F.when(~F.col("is_new"), F.col("distance"))).alias("old"))
@@ -134,8 +140,7 @@ def relaxed_distances(graph: DataFrame, starts: DataFrame, by: list[str] | None
         best = merged.drop("old")
         frontier = merged.where("old IS NULL OR distance < old").drop("old")
         if frontier.isEmpty():
-            break
-    return best.where("source <> target")
+            return best.where("source <> target")
 
 
 def path_metrics(distances: DataFrame, by: list[str] | None = None, of: str = "source") -> DataFrame:
