@@ -190,3 +190,15 @@ def test_packing_of_a_table(spark):
     assert sum(fill.values()) == sum(len((t or "").encode()) for _, t, _ in rows)
     assert sum(fill.values()) / (8192 * len(fill)) > 0.97
     assert pack_documents(df.limit(0)).count() == 0
+
+
+def test_leaks_with_words_left_out_and_put_in(spark):
+    item = [f"w{i}x" for i in range(90)]
+    part = item[20:50]
+    left_out = [w for i, w in enumerate(part) if i not in (10, 14)]
+    put_in = [*part[:10], "new", *part[10:14], "new", *part[14:]]
+    scrap = [w for i, w in enumerate(part) if i not in (4, 8, 12, 16, 20, 24)]
+    around = [f"v{i}" for i in range(40)]
+    docs = [(k, mail(" ".join([*around, *p, *around]))) for k, p in enumerate((left_out, put_in, scrap))]
+    found = L.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id int, passage string"))
+    assert {(r.doc_id, r.share) for r in found.collect()} == {(0, 30 / 90), (1, 30 / 90)}

@@ -133,8 +133,9 @@ class ItemIndex:
         return np.concatenate(at), np.concatenate(hit)
 
 
-def longest_stretch(same: np.ndarray) -> int:
-    """Length of the longest stretch of which at most one word in eight is altered; it begins and ends with an equal word."""
+def longest_stretch(same: np.ndarray, own: np.ndarray | None = None) -> int:
+    """Length of the longest stretch of which at most one word in eight is altered; it begins and ends with an equal word.
+    ``own`` says which words count for the length, all if None."""
     score = np.cumsum(np.where(same, 1, 1 - round(1 / ALTERED)))
     score = np.r_[0, score]
     begins, ends = np.flatnonzero(same), np.flatnonzero(same) + 1
@@ -145,7 +146,40 @@ def longest_stretch(same: np.ndarray) -> int:
     where = np.searchsorted(-low, -score[ends], side="left")
     ok = where < len(begins)
     ok[ok] &= begins[where[ok]] < ends[ok]
-    return int((ends[ok] - begins[where[ok]]).max()) if ok.any() else 0
+    length = np.r_[0, np.cumsum(np.ones(len(same), np.int64) if own is None else own)]
+    return int((length[ends[ok]] - length[begins[where[ok]]]).max()) if ok.any() else 0
+
+
+def aligned_stretch(doc: np.ndarray, item: np.ndarray, first: int, last: int) -> int:
+    """Item words in the longest stretch of the alignment with the fewest edits whose shifts lie in first..last.
+
+    Words replaced, left out and put in all count as altered; the alignment may begin and end at any of the shifts.
+    """
+    n, shifts = len(item), np.arange(first, last + 1)
+    at = shifts + np.arange(n)[:, None]
+    inside = (at >= 0) & (at < len(doc))
+    same = (doc[np.where(inside, at, 0)] == item[:, None]) & inside
+    k = np.arange(len(shifts))
+    cost = np.zeros((n + 1, len(shifts)), np.int64)
+    for i in range(n):
+        step = cost[i] + 1 - same[i]
+        step[:-1] = np.minimum(step[:-1], cost[i, 1:] + 1)  # the item's word is left out
+        cost[i + 1] = np.minimum.accumulate(step - k) + k  # words put in move on to greater shifts
+    path: list[tuple[bool, bool]] = []  # equal?, a word of the item?
+    i, s = n, int(cost[n].argmin())
+    while i:
+        c = cost[i, s]
+        if c == cost[i - 1, s] + 1 - same[i - 1, s]:
+            path.append((bool(same[i - 1, s]), True))
+            i -= 1
+        elif s + 1 < len(shifts) and c == cost[i - 1, s + 1] + 1:
+            path.append((False, True))
+            i, s = i - 1, s + 1
+        else:
+            path.append((False, False))
+            s -= 1
+    equal, own = np.array(path[::-1], bool).T
+    return longest_stretch(equal, own)
 
 
 def verified(doc: np.ndarray, item: np.ndarray, shifts: np.ndarray) -> float:
@@ -153,7 +187,7 @@ def verified(doc: np.ndarray, item: np.ndarray, shifts: np.ndarray) -> float:
     than one word in eight of every stretch is altered. ``shifts``: document position minus item position of the candidates.
 
     Words left out or put in shift what follows by a few places; a word counts as equal if it is so at the stretch's own shift
-    or, beyond such a place, at a neighbouring candidate shift.
+    or, beyond such a place, at a neighbouring candidate shift, or in an alignment over all shifts within an eighth of the item.
     """
     n, best = len(item), 0
     least = math.ceil(n * SHARE) * (1 - ALTERED)  # equal words that a sufficient stretch has at least
@@ -172,6 +206,11 @@ def verified(doc: np.ndarray, item: np.ndarray, shifts: np.ndarray) -> float:
             matched[1:] |= pairs.any(0)
             matched[:-1] |= pairs.any(0)
             best = max(best, longest_stretch(matched))
+    band = math.ceil(n * ALTERED)
+    for group in np.split(shifts, np.flatnonzero(np.diff(shifts) > 2 * band) + 1):
+        near = doc[max(0, group[0] - band) : max(0, group[-1] + band + n)]
+        if best < n and np.isin(item, near).sum() >= max(least, best * (1 - ALTERED)):
+            best = max(best, aligned_stretch(doc, item, int(group[0]) - band, int(group[-1]) + band))
     return best / n
 
 
