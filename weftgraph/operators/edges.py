@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.errors import NetworkError
@@ -108,11 +108,14 @@ class Ends:
             c = c | p
         return c
 
+    def either(self) -> Column:
+        """True where one of the ends of an edge of an analysis is named."""
+        return self.condition("kind1", "resname1", "label1", "vertex1") | self.condition("kind2", "resname2", "label2", "vertex2")
+
 
 def exclude_endpoints(analysis: DataFrame, excluded: Ends) -> DataFrame:
     """Without the edges of which either end is named."""
-    either = excluded.condition("kind1", "resname1", "label1", "vertex1") | excluded.condition("kind2", "resname2", "label2", "vertex2")
-    return analysis.where(~either)
+    return analysis.where(~excluded.either())
 
 
 def auto_thresholds(analysis: DataFrame, percentile: float = 0.05, by: list[str] | None = None) -> DataFrame:
@@ -149,25 +152,34 @@ def above_threshold(analysis: DataFrame, threshold: object, percentile: float =
 
 
 def strongest_edges(analysis: DataFrame, n: int | None, by: list[str] | None = None) -> DataFrame:
-    """The ``n`` strongest edges of all networks, NaN first, ties by edge_key, then by network. None keeps all."""
+    """The ``n`` strongest edges of every network, NaN first, ties by edge_key. None keeps all."""
     if n is None:
         return analysis
     if n < 1:
         raise ValueError("at least one edge must be kept")
-    return analysis.orderBy(F.desc("abs_value"), F.asc("edge_key"), *(by or [])).limit(n)
+    order = [F.desc("abs_value"), F.asc("edge_key")]
+    if not by:
+        return analysis.orderBy(*order).limit(n)
+    return analysis.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_place") <= n).drop("_place")
 
 
 def filter_counts(analysis: DataFrame, excluded: Ends, threshold: object, percentile: float, by: list[str] | None, n: int | None) -> DataFrame:
-    """How many edges each step leaves: step, n_edges."""
-    steps = [("before", analysis)]
-    steps.append(("after_exclusion", exclude_endpoints(analysis, excluded)))
-    steps.append(("after_threshold", above_threshold(steps[-1][1], threshold, percentile, by)))
-    steps.append(("final", strongest_edges(steps[-1][1], n, by)))
-    counted = [df.agg(F.count(F.lit(1)).alias("n_edges")).select(F.lit(s).alias("step"), "n_edges") for s, df in steps]
-    out = counted[0]
-    for c in counted[1:]:
-        out = out.unionByName(c)
-    return out
+    """How many edges of every network each step leaves: ``by``, step, n_edges. An automatic threshold comes from the edges that
+    the exclusion leaves. One pass counts all steps; a network that loses all its edges counts 0."""
+    by = by or []
+    flagged = analysis.withColumn("_in", ~excluded.either())
+    t = parse_threshold(threshold)
+    if t is not None:
+        flagged = flagged.withColumn("_limit", F.lit(t))
+    elif by:
+        flagged = flagged.join(auto_thresholds(flagged.where("_in"), percentile, by).withColumnRenamed("threshold", "_limit"), by, "left")
+    else:
+        flagged = flagged.withColumn("_limit", F.lit(auto_thresholds(flagged.where("_in"), percentile).first().threshold).cast("double"))
+    strong = (F.coalesce("_limit", F.lit(0.0)) <= 0) | (finite(F.col("abs_value")) & (F.col("abs_value") >= F.col("_limit")))
+    left = flagged.groupBy(*by).agg(F.count(F.lit(1)).alias("n1"), F.count_if("_in").alias("n2"), F.count_if(F.col("_in") & strong).alias("n3"))
+    final = F.col("n3") if n is None else F.least("n3", F.lit(n).cast("long"))
+    steps = (("before", F.col("n1")), ("after_exclusion", F.col("n2")), ("after_threshold", F.col("n3")), ("final", final))
+    return left.select(*by, F.inline(F.array(*(F.struct(F.lit(s).alias("step"), c.alias("n_edges")) for s, c in steps))))
 
 
 def edge_values(values: DataFrame, edges: DataFrame, vertices: DataFrame, members: DataFrame, value: str = "vdw+cl", normalization: str = "none", frames: list[int] | None = None, columns: list[str] | None = None, by: list[str] | None = None) -> DataFrame:

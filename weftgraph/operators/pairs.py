@@ -1,7 +1,7 @@
 """Pairs of atoms within a cut-off, their energies, and the edge values of every frame.
 
-Space is cut into cells at least as wide as the cut-off, so the distance join becomes an equi-join on (frame, cell) with the
-27 cells around each atom, and the exact distance a residual condition of it.
+Space is cut into cells at least as wide as the cut-off, so the distance join becomes an equi-join on (frame, cell) with half of
+the 27 cells around each atom, and the exact distance a residual condition of it.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.errors import NetworkError
 
-#: Coulomb's constant in kJ nm / (mol e^2).
+# Fixed value: Coulomb's constant in kJ nm / (mol e^2).
 COULOMB = 138.935458
 AXES = ("x", "y", "z")
 
@@ -61,18 +61,22 @@ def pairs_within(positions: DataFrame, cutoff: float, boxes: DataFrame | None =
     columns = columns or []
     rows = with_cells(positions, cutoff, boxes)
     cells = ["cx", "cy", "cz"]
-    left = rows.select("frame", *cells, F.col("atom_index").alias("i"), *(F.col(a).alias(f"{a}_i") for a in AXES), *(f"l{a}" for a in AXES), *(F.col(c).alias(f"{c}_i") for c in columns))
-    right = rows
-    for a in AXES:  # three small explodes; each neighbouring cell comes up once even where an axis has one or two cells
-        right = right.withColumn(f"c{a}", F.explode(_around(F.col(f"c{a}"), F.col(f"n{a}"))))
-    right = right.select("frame", *cells, F.col("atom_index").alias("j"), *(F.col(a).alias(f"{a}_j") for a in AXES), *(F.col(c).alias(f"{c}_j") for c in columns))
-    joined = left.join(right, ["frame", *cells]).where("i < j")
+    left = rows.select("frame", *cells, F.col("atom_index").alias("a"), *(F.col(x).alias(f"{x}_a") for x in AXES), *(f"l{x}" for x in AXES), *(F.col(c).alias(f"{c}_a") for c in columns))
+    right = rows.withColumn("home", F.struct(*cells))
+    for x in AXES:  # three small explodes; each neighbouring cell comes up once even where an axis has one or two cells
+        right = right.withColumn(f"c{x}", F.explode(_around(F.col(f"c{x}"), F.col(f"n{x}"))))
+    # of two neighbouring cells only the atoms of the lesser one go to the other, so half the copies are never shuffled
+    right = right.where(F.col("home") <= F.struct(*cells)).withColumn("own", F.col("home") == F.struct(*cells))
+    right = right.select("frame", *cells, "own", F.col("atom_index").alias("b"), *(F.col(x).alias(f"{x}_b") for x in AXES), *(F.col(c).alias(f"{c}_b") for c in columns))
+    joined = left.join(right, ["frame", *cells]).where("NOT own OR a < b")
     square = None
-    for a in AXES:
-        d = minimum_image(F.col(f"{a}_i") - F.col(f"{a}_j"), F.col(f"l{a}"))
+    for x in AXES:
+        d = minimum_image(F.col(f"{x}_a") - F.col(f"{x}_b"), F.col(f"l{x}"))
         square = d * d if square is None else square + d * d
     joined = joined.withColumn("r2", square).where(F.col("r2") <= F.lit(float(cutoff) ** 2))
-    return joined.select("frame", "i", "j", "r2", F.sqrt("r2").alias("r"), *(f"{c}_{s}" for c in columns for s in ("i", "j")))
+    ordered = F.col("a") < F.col("b")
+    ends = [F.when(ordered, F.col(f"{c}_{s}")).otherwise(F.col(f"{c}_{t}")).alias(f"{c}_{n}") for c in columns for n, s, t in (("i", "a", "b"), ("j", "b", "a"))]
+    return joined.select("frame", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "r2", F.sqrt("r2").alias("r"), *ends)
 
 
 def lennard_jones(r: Column, sigma: Column, epsilon: Column) -> tuple[Column, Column]:

@@ -1,7 +1,6 @@
 """Queries over coordinates and atoms: the steps that build a network, with SQL that gives the same rows.
 
-Atoms come from the parts; coordinates of a frame from three components of the embeddings. The queries over coordinates read
-the first ``FRAMES`` frames; those named ..._whole all that the embeddings hold.
+Atoms come from the parts; the coordinates of a frame are three components of the embeddings, in as many frames as they hold.
 """
 
 from __future__ import annotations
@@ -17,7 +16,6 @@ from weftgraph.session import table
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-FRAMES = 4
 
 
 def query(name: str, sql: str | None = None):
@@ -30,27 +28,18 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def positions(spark: SparkSession, sf_dir: str, frames: int | None = FRAMES) -> DataFrame:
-    """frame, atom_index, x, y, z, atom_type and charge: one atom per embedding, one frame per three components, all if None."""
-    e = table(spark, sf_dir, "embeddings")
-    if frames is None:
-        e, last = e.where("size(embedding) >= 3"), F.expr("CAST(size(embedding) div 3 - 1 AS INT)")
-    else:
-        last = F.lit(frames - 1)
-    rows = e.select(F.col("vec_id").cast("int").alias("atom_index"), "label", "embedding", F.explode(F.sequence(F.lit(0), last)).alias("frame"))
+def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """frame, atom_index, x, y, z, type, charge and vertex_id: one atom per embedding, one frame per three components."""
+    e = table(spark, sf_dir, "embeddings").where("size(embedding) >= 3")
+    frames = F.explode(F.expr("sequence(0, CAST(size(embedding) div 3 - 1 AS INT))")).alias("frame")
+    rows = e.select(F.col("vec_id").cast("int").alias("atom_index"), "label", "embedding", frames)
     at = lambda k: F.get("embedding", F.col("frame") * 3 + k).cast("double")
     charge = (F.pmod("atom_index", F.lit(3)) - 1).cast("double")
     return rows.select("frame", "atom_index", at(0).alias("x"), at(1).alias("y"), at(2).alias("z"), F.col("label").cast("string").alias("type"), charge.alias("charge"), F.expr("atom_index div 5").cast("int").alias("vertex_id"))
 
 
-POSITIONS_SQL = f"""p AS (SELECT f.frame, CAST(vec_id AS INT) AS atom_index, CAST(embedding[f.frame * 3 + 1] AS DOUBLE) AS x, CAST(embedding[f.frame * 3 + 2] AS DOUBLE) AS y, CAST(embedding[f.frame * 3 + 3] AS DOUBLE) AS z,
-  CAST(label AS VARCHAR) AS type, CAST(vec_id % 3 - 1 AS DOUBLE) AS charge, CAST(vec_id // 5 AS INT) AS vertex_id FROM embeddings CROSS JOIN (SELECT CAST(unnest(range(0, {FRAMES})) AS INT) AS frame) f)"""
-
-
-def whole_sql(sql: str) -> str:
-    """``sql`` over all frames that the embeddings hold."""
-    some = f"embeddings CROSS JOIN (SELECT CAST(unnest(range(0, {FRAMES})) AS INT) AS frame) f"
-    return sql.replace(some, "(SELECT *, CAST(unnest(range(0, len(embedding) // 3)) AS INT) AS frame FROM embeddings) f")
+POSITIONS_SQL = """p AS (SELECT f.frame, CAST(vec_id AS INT) AS atom_index, CAST(embedding[f.frame * 3 + 1] AS DOUBLE) AS x, CAST(embedding[f.frame * 3 + 2] AS DOUBLE) AS y, CAST(embedding[f.frame * 3 + 3] AS DOUBLE) AS z,
+  CAST(label AS VARCHAR) AS type, CAST(vec_id % 3 - 1 AS DOUBLE) AS charge, CAST(vec_id // 5 AS INT) AS vertex_id FROM (SELECT *, CAST(unnest(range(0, len(embedding) // 3)) AS INT) AS frame FROM embeddings) f)"""
 
 
 def pairs_sql(cutoff: float, side: float | None) -> str:
@@ -64,21 +53,19 @@ def boxes(pos: DataFrame, side: float) -> DataFrame:
     return pos.select("frame").distinct().select("frame", *(F.lit(side).alias(f"l{a}") for a in "xyz"))
 
 
-def _pairs(cutoff: float, side: float | None, spark: SparkSession, sf_dir: str, frames: int | None = FRAMES) -> DataFrame:
-    pos = positions(spark, sf_dir, frames)
+def _pairs(cutoff: float, side: float | None, spark: SparkSession, sf_dir: str) -> DataFrame:
+    pos = positions(spark, sf_dir)
     return pairs.pairs_within(pos, cutoff, None if side is None else boxes(pos, side), ["type", "charge", "vertex_id"])
 
 
-def _counted(cutoff: float, side: float | None, frames: int | None, spark: SparkSession, sf_dir: str) -> DataFrame:
+def _counted(cutoff: float, side: float | None, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of every frame and atom with the sum of their distances."""
-    return rounded(_pairs(cutoff, side, spark, sf_dir, frames).groupBy("frame", "i").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("r").alias("sum_r")), "sum_r", digits=5)
+    return rounded(_pairs(cutoff, side, spark, sf_dir).groupBy("frame", "i").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("r").alias("sum_r")), "sum_r", digits=5)
 
 
 _COUNT = "SELECT frame, i, count(*) AS n_pairs, round(sum(sqrt(r2)), 5) AS sum_r FROM q GROUP BY frame, i"
 for _name, _cut, _side in (("periodic", 0.12, 1.0), ("open", 0.12, None), ("two_cells", 0.2, 0.5), ("one_cell", 0.25, 0.3)):
-    _sql = f"WITH {pairs_sql(_cut, _side)} {_COUNT}"
-    query(f"pair_join_cutoff_{_name}", _sql)(partial(_counted, _cut, _side, FRAMES))
-    query(f"pair_join_cutoff_{_name}_whole", whole_sql(_sql))(partial(_counted, _cut, _side, None))
+    query(f"pair_join_cutoff_{_name}", f"WITH {pairs_sql(_cut, _side)} {_COUNT}")(partial(_counted, _cut, _side))
 
 
 def _vdw_types(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,9 +96,9 @@ en AS (SELECT frame, i, j, r, vertex_id_i, vertex_id_j, CASE WHEN r <= {RVDW} TH
   CASE WHEN r <= {RVDW} THEN 24 * epsilon / r * (pow(sigma / r, 6) - 2 * pow(sigma / r, 12)) ELSE 0.0 END AS vdw_dif, CASE WHEN r <= {RCOULOMB} THEN -138.935458 * charge_i * charge_j / (r * r) ELSE 0.0 END AS coulomb_dif FROM e)"""
 
 
-def _energies(spark: SparkSession, sf_dir: str, frames: int | None = FRAMES) -> DataFrame:
+def _energies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Energies of pairs between different vertices; successive atoms of a molecule (ten atoms) are excluded."""
-    pos = positions(spark, sf_dir, frames)
+    pos = positions(spark, sf_dir)
     excluded = pos.where("frame = 0 AND atom_index % 10 < 9").select(F.col("atom_index").alias("i"), (F.col("atom_index") + 1).alias("j"))
     atoms = pos.where("frame = 0").select("atom_index", F.col("type").alias("atom_type"), "charge", F.expr("atom_index div 10").alias("molecule_instance"), F.lit("M").alias("molecule_type"))
     members = pos.where("frame = 0").select("atom_index", "vertex_id")
@@ -119,38 +106,33 @@ def _energies(spark: SparkSession, sf_dir: str, frames: int | None = FRAMES) ->
     return pairs.pair_energies(close, _vdw_types(spark, sf_dir), RVDW, RCOULOMB)
 
 
-DIGITS = {"vdw": 6, "coulomb": 4, "vdw_dif": 4, "coulomb_dif": 3}
-#: Energies of atoms nearly on top of each other are cut to this, as their last digits mean nothing.
-LIMIT = 1e4
+ENERGIES = ("vdw", "coulomb", "vdw_dif", "coulomb_dif")
+
+
+def significant(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    """Columns to so many significant digits, as energies span many powers of ten; what is below 1e-9 is 0. A nudge takes halves up
+    in any engine."""
+    near = lambda c: F.when(F.abs(c) < 1e-9, 0.0).otherwise(F.format_string(f"%.{digits - 1}e", F.col(c) * (1 + 1e-12)).try_cast("double"))
+    return df.withColumns({c: near(c) for c in columns})
+
+
+def significant_sql(x: str, digits: int) -> str:
+    return f"CASE WHEN abs({x}) < 1e-9 THEN 0.0 ELSE TRY_CAST(printf('%.{digits - 1}e', {x} * CAST('{1 + 1e-12!r}' AS DOUBLE)) AS DOUBLE) END"
 
 
-@query("pair_energies", f"WITH {ENERGY_SQL} SELECT frame, i, j, " + ", ".join(f"round(greatest(-{LIMIT}, least({LIMIT}, {c})), {d}) AS {c}" for c, d in DIGITS.items()) + " FROM en")
+@query("pair_energies", f"WITH {ENERGY_SQL} SELECT frame, i, j, " + ", ".join(f"{significant_sql(c, 7)} AS {c}" for c in ENERGIES) + " FROM en")
 def pair_energies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = lambda c: F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.col(c)))
-    return _energies(spark, sf_dir).select("frame", "i", "j", *(F.round(cut(c), d).alias(c) for c, d in DIGITS.items()))
+    return significant(_energies(spark, sf_dir).select("frame", "i", "j", *ENERGIES), 7, *ENERGIES)
 
 
 @query(
     "frame_edge_values",
-    f"WITH {ENERGY_SQL} SELECT frame, CAST(least(vertex_id_i, vertex_id_j) AS BIGINT) * 1000000 + greatest(vertex_id_i, vertex_id_j) AS edge_key, round(sum(coulomb), 3) AS coulomb, CAST(count(*) AS INT) AS n_atom_pairs FROM en GROUP BY ALL",
+    f"WITH {ENERGY_SQL}, su AS (SELECT frame, CAST(least(vertex_id_i, vertex_id_j) AS BIGINT) * 1000000 + greatest(vertex_id_i, vertex_id_j) AS edge_key, " + ", ".join(f"CAST(CAST(sum({c}) AS FLOAT) AS DOUBLE) AS {c}" for c in ENERGIES)
+    + ", CAST(count(*) AS INT) AS n_atom_pairs FROM en GROUP BY ALL) SELECT frame, edge_key, " + ", ".join(f"{significant_sql(c, 5)} AS {c}" for c in ENERGIES) + ", n_atom_pairs FROM su",
 )
 def frame_edge_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _energies(spark, sf_dir)
-    exact = e.groupBy("frame", (F.least("vertex_id_i", "vertex_id_j").cast("long") * 1_000_000 + F.greatest("vertex_id_i", "vertex_id_j")).alias("edge_key")).agg(F.sum("coulomb").alias("coulomb"))
-    stored = pairs.frame_edge_values(e, 1_000_000).select("frame", "edge_key", "n_atom_pairs")
-    return rounded(exact.join(stored, ["frame", "edge_key"]), "coulomb", digits=3)
-
-
-@query("pair_energies_whole")
-def pair_energies_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pairs of all frames with their energies as they are. No SQL: the last digits of close pairs differ."""
-    return _energies(spark, sf_dir, None).select("frame", "i", "j", *DIGITS)
-
-
-@query("frame_edge_values_whole")
-def frame_edge_values_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The value table of all frames as the operator makes it, with all four sums."""
-    return pairs.frame_edge_values(_energies(spark, sf_dir, None), 1_000_000)
+    """The value table as the operator makes it, with all four sums."""
+    return significant(pairs.frame_edge_values(_energies(spark, sf_dir), 1_000_000).withColumns({c: F.col(c).cast("double") for c in ENERGIES}), 5, *ENERGIES)
 
 
 # --- atoms and vertices: parts as atoms, their brands as molecules, their sizes as residues -----------------------------
@@ -255,11 +237,8 @@ SCALE_SQL = (
 )
 
 
-def _hypotheses(frames: int | None, spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _pairs(0.12, None, spark, sf_dir, frames).where("r2 > 0").select("frame", F.col("r").alias("distance"))
+@query("scale_hypotheses", SCALE_SQL)
+def scale_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _pairs(0.12, None, spark, sf_dir).where("r2 > 0").select("frame", F.col("r").alias("distance"))
     h = scale.scale_hypotheses(d, CUTOFF_NM, ["frame"]).drop("scale_to_nm", "cutoff_fraction_nm", "score")
     return rounded(h, "median_input", "p01_nm", "p05_nm", "p50_nm", "p95_nm", "too_close_fraction_nm", digits=6)
-
-
-query("scale_hypotheses", SCALE_SQL)(partial(_hypotheses, FRAMES))
-query("scale_hypotheses_whole", whole_sql(SCALE_SQL))(partial(_hypotheses, None))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextvars import ContextVar
 from dataclasses import dataclass
 from functools import partial
 
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions.selectors import vertex_condition
-from weftgraph.functions.values import NORMALIZATIONS, VALUE_COLUMNS, finite, radius
+from weftgraph.functions.values import NORMALIZATIONS, VALUE_COLUMNS, finite, radius, value_expr
 from weftgraph.operators import edges as E
 from weftgraph.operators import info, neighbors, paths, regions, viewer
 from weftgraph.operators.latest import current_rows
@@ -19,16 +18,12 @@ from weftgraph.session import table
 
 BY = ["build_id"]
 ENERGIES = ("vdw", "coulomb", "vdw_dif", "coulomb_dif")
-#: Energies beyond this are broken readings; a single one would drown the mean of its edge.
-PLAUSIBLE = 1e5
-#: Set while a query named ..._whole makes its plan: all current rows count.
-_ALL_ROWS: ContextVar[bool] = ContextVar("all_rows", default=False)
 
 
 @dataclass
 class Networks:
-    """The tables of all builds. Values are the current rows whose four energies are all finite and below ``PLAUSIBLE``; for the
-    queries named ..._whole all current rows, in which an energy that is no finite number is null and so left out of its sums."""
+    """The tables of all builds. Values are all current rows; an energy that is no finite number is null there and so left out of
+    the sums that need it, while its row and the other energies count."""
 
     values: DataFrame
     edges: DataFrame
@@ -39,11 +34,7 @@ class Networks:
 def networks(spark: SparkSession, sf_dir: str) -> Networks:
     edges = table(spark, sf_dir, "edges")
     rows = current_rows(table(spark, sf_dir, "frame_values"), edges, [*ENERGIES, "n_atom_pairs"])
-    if _ALL_ROWS.get():
-        values = rows.select("build_id", "frame", "edge_key", *(F.when(finite(F.col(c)), F.col(c)).alias(c) for c in ENERGIES), "n_atom_pairs")
-        return Networks(values, edges, table(spark, sf_dir, "vertices"), table(spark, sf_dir, "vertex_members"))
-    good = " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c}) AND abs({c}) < {PLAUSIBLE}" for c in ENERGIES)
-    values = rows.where(good).select("build_id", "frame", "edge_key", *ENERGIES, "n_atom_pairs")
+    values = rows.select("build_id", "frame", "edge_key", *(F.when(finite(F.col(c)), F.col(c)).alias(c) for c in ENERGIES), "n_atom_pairs")
     return Networks(values, edges, table(spark, sf_dir, "vertices"), table(spark, sf_dir, "vertex_members"))
 
 
@@ -52,13 +43,21 @@ def analysis(spark: SparkSession, sf_dir: str, value: str = "vdw+cl", normalizat
     return E.edge_analysis(n.values, n.edges, n.vertices, n.members, value, normalization, BY)
 
 
+LARGE = 1e7
+
+
+def near(x: str, digits: int) -> str:
+    """SQL of ``rounded``."""
+    return f"CASE WHEN abs({x}) < {LARGE} THEN round({x}, {digits}) ELSE TRY_CAST(printf('%.8e', {x}) AS DOUBLE) END"
+
+
 # --- SQL shared by the queries ---------------------------------------------------------------------------------------
 
-VALUES_SQL = """c AS (SELECT f.build_id, f.frame, f.edge_key, e.vertex1, e.vertex2, CAST(f.vdw AS DOUBLE) AS vdw, CAST(f.coulomb AS DOUBLE) AS coulomb,
+VALUES_SQL = f"""c AS (SELECT f.build_id, f.frame, f.edge_key, e.vertex1, e.vertex2, CAST(f.vdw AS DOUBLE) AS vdw, CAST(f.coulomb AS DOUBLE) AS coulomb,
   CAST(f.vdw_dif AS DOUBLE) AS vdw_dif, CAST(f.coulomb_dif AS DOUBLE) AS coulomb_dif, f.n_atom_pairs,
   row_number() OVER (PARTITION BY f.build_id, f.frame, f.edge_key ORDER BY f.written_at DESC NULLS LAST, f.row_id DESC) AS rn
   FROM frame_values f JOIN edges e ON f.edge_key = e.edge_key),
-v AS (SELECT * FROM c WHERE rn = 1 AND abs(vdw) < 1e5 AND abs(coulomb) < 1e5 AND abs(vdw_dif) < 1e5 AND abs(coulomb_dif) < 1e5),
+v AS (SELECT * REPLACE ({", ".join(f"CASE WHEN isfinite({c}) THEN {c} END AS {c}" for c in ENERGIES)}) FROM c WHERE rn = 1),
 mc AS (SELECT v.vertex_id, count(m.atom_index) AS n, any_value(v.kind) AS kind, any_value(v.label) AS label, coalesce(any_value(v.residue_name), '') AS resname
   FROM vertices v LEFT JOIN vertex_members m ON v.vertex_id = m.vertex_id GROUP BY v.vertex_id)"""
 
@@ -83,7 +82,7 @@ def analysis_sql(value: str = "vdw+cl", normalization: str = "none") -> str:
     return f"""{VALUES_SQL},
 s AS (SELECT build_id, edge_key, any_value(vertex1) AS vertex1, any_value(vertex2) AS vertex2, sum({expr_sql(value)}) AS vs, coalesce(sum(n_atom_pairs), 0) AS np FROM v GROUP BY build_id, edge_key),
 fr AS (SELECT build_id, count(DISTINCT frame) AS nf FROM v GROUP BY build_id),
-a0 AS (SELECT s.build_id, s.edge_key, s.vertex1, s.vertex2, vs / nf AS value_raw, CAST(np AS BIGINT) AS n_atom_pairs_sum, np / CAST(nf AS DOUBLE) AS n_atom_pairs_mean,
+a0 AS (SELECT s.build_id, s.edge_key, s.vertex1, s.vertex2, coalesce(vs, 0.0) / nf AS value_raw, CAST(np AS BIGINT) AS n_atom_pairs_sum, np / CAST(nf AS DOUBLE) AS n_atom_pairs_mean,
   m1.n AS n_members1, m2.n AS n_members2, m1.kind AS kind1, m2.kind AS kind2, m1.label AS label1, m2.label AS label2, m1.resname AS resname1, m2.resname AS resname2
   FROM s JOIN fr ON s.build_id = fr.build_id JOIN mc m1 ON s.vertex1 = m1.vertex_id JOIN mc m2 ON s.vertex2 = m2.vertex_id),
 a AS (SELECT *, {norm_sql(normalization, "value_raw", "n_atom_pairs_sum", "0.0")} AS value, abs({norm_sql(normalization, "value_raw", "n_atom_pairs_sum", "0.0")}) AS abs_value FROM a0)"""
@@ -105,7 +104,10 @@ def query(name: str, sql: str | None = None):
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+    """Columns to so many decimals, and to nine significant digits from ``LARGE`` on, where decimals mean nothing: some readings are
+    beyond 1e30, and sums in another order differ in their last digits."""
+    nine = lambda c: F.format_string("%.8e", c).try_cast("double")
+    return df.withColumns({c: F.when(F.abs(c) < LARGE, F.round(c, digits)).otherwise(nine(c)) for c in columns})
 
 
 # --- edge tables -----------------------------------------------------------------------------------------------------
@@ -113,7 +115,7 @@ def rounded(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
 
 @query(
     "edge_mean_vdw_cl",
-    f"WITH {analysis_sql()} SELECT build_id, edge_key, vertex1, vertex2, round(value_raw, 4) AS value_raw, round(value, 4) AS value, round(abs_value, 4) AS abs_value, n_atom_pairs_sum, round(n_atom_pairs_mean, 4) AS n_atom_pairs_mean, n_members1, n_members2, kind1, kind2, label1, label2, resname1, resname2 FROM a",
+    f"WITH {analysis_sql()} SELECT build_id, edge_key, vertex1, vertex2, {near('value_raw', 4)} AS value_raw, {near('value', 4)} AS value, {near('abs_value', 4)} AS abs_value, n_atom_pairs_sum, {near('n_atom_pairs_mean', 4)} AS n_atom_pairs_mean, n_members1, n_members2, kind1, kind2, label1, label2, resname1, resname2 FROM a",
 )
 def edge_mean_vdw_cl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(analysis(spark, sf_dir), "value_raw", "value", "abs_value", "n_atom_pairs_mean")
@@ -122,13 +124,11 @@ def edge_mean_vdw_cl(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "edge_each_value",
     f"WITH {VALUES_SQL}, fr AS (SELECT build_id, count(DISTINCT frame) AS nf FROM v GROUP BY build_id) "
-    + " UNION ALL ".join(f"SELECT v.build_id, '{n}' AS value_name, count(DISTINCT edge_key) AS n_edges, round(sum({expr_sql(n)}) / any_value(nf), 3) AS mean_sum FROM v JOIN fr ON v.build_id = fr.build_id GROUP BY v.build_id" for n in VALUE_COLUMNS),
+    + " UNION ALL ".join(f"SELECT v.build_id, '{n}' AS value_name, count(DISTINCT edge_key) AS n_edges, {near(f'sum({expr_sql(n)}) / any_value(nf)', 3)} AS mean_sum FROM v JOIN fr ON v.build_id = fr.build_id GROUP BY v.build_id" for n in VALUE_COLUMNS),
 )
 def edge_each_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The six values of every build, summed over its edges. One pass sums all of them."""
     n = networks(spark, sf_dir)
-    from weftgraph.functions.values import value_expr
-
     sums = n.values.groupBy(*BY, "edge_key").agg(*(F.sum(value_expr(v)).alias(v) for v in VALUE_COLUMNS))
     names = F.array(*(F.struct(F.lit(v).alias("value_name"), F.col(f"`{v}`").alias("s")) for v in VALUE_COLUMNS))
     long = sums.join(E.frame_counts(n.values, BY), BY).select("build_id", "n_frames", F.inline(names))
@@ -141,13 +141,13 @@ def _norm(normalization: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 for _n in NORMALIZATIONS:
-    query(f"norm_{_n}", f"WITH {analysis_sql('vdw+cl', _n)} SELECT build_id, edge_key, round(value, 6) AS value FROM a")(partial(_norm, _n))
+    query(f"norm_{_n}", f"WITH {analysis_sql('vdw+cl', _n)} SELECT build_id, edge_key, {near('value', 6)} AS value FROM a")(partial(_norm, _n))
 
 EXCLUDED = E.Ends(kinds=("bundle",), resnames=("phy", "QUE"), vertex_ids=(7,))
 EXCLUDED_SQL = " OR ".join(f"kind{i} = 'bundle' OR upper(trim(resname{i}, ' ')) IN ('PHY', 'QUE') OR vertex{i} = 7" for i in (1, 2))
 
 
-@query("edge_exclude_endpoints", f"WITH {analysis_sql()} SELECT build_id, edge_key, round(value, 4) AS value FROM a WHERE NOT ({EXCLUDED_SQL})")
+@query("edge_exclude_endpoints", f"WITH {analysis_sql()} SELECT build_id, edge_key, {near('value', 4)} AS value FROM a WHERE NOT ({EXCLUDED_SQL})")
 def edge_exclude_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(E.exclude_endpoints(analysis(spark, sf_dir), EXCLUDED).select("build_id", "edge_key", "value"), "value")
 
@@ -155,17 +155,17 @@ def edge_exclude_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 _AUTO = "t AS (SELECT build_id, quantile_cont(abs_value, {p}) AS th FROM a WHERE abs_value > 0 GROUP BY build_id)"
 
 
-@query("edge_auto_threshold", f"WITH {analysis_sql()}, {_AUTO.format(p=0.25)} SELECT a.build_id, edge_key, round(value, 4) AS value FROM a LEFT JOIN t ON a.build_id = t.build_id WHERE coalesce(th, 0) <= 0 OR abs_value >= th")
+@query("edge_auto_threshold", f"WITH {analysis_sql()}, {_AUTO.format(p=0.25)} SELECT a.build_id, edge_key, {near('value', 4)} AS value FROM a LEFT JOIN t ON a.build_id = t.build_id WHERE coalesce(th, 0) <= 0 OR abs_value >= th")
 def edge_auto_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(E.above_threshold(analysis(spark, sf_dir), "auto", 25, BY).select("build_id", "edge_key", "value"), "value")
 
 
-@query("edge_explicit_threshold", f"WITH {analysis_sql()} SELECT build_id, edge_key, round(value, 4) AS value FROM a WHERE abs_value >= 5.0")
+@query("edge_explicit_threshold", f"WITH {analysis_sql()} SELECT build_id, edge_key, {near('value', 4)} AS value FROM a WHERE abs_value >= 5.0")
 def edge_explicit_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(E.above_threshold(analysis(spark, sf_dir), "5.0", by=BY).select("build_id", "edge_key", "value"), "value")
 
 
-@query("edge_topk", f"WITH {analysis_sql()} SELECT build_id, edge_key, round(abs_value, 4) AS abs_value FROM a ORDER BY a.abs_value DESC, edge_key, build_id LIMIT 20")
+@query("edge_topk", f"WITH {analysis_sql()} SELECT build_id, edge_key, {near('abs_value', 4)} AS abs_value FROM a QUALIFY row_number() OVER (PARTITION BY build_id ORDER BY a.abs_value DESC, edge_key) <= 20")
 def edge_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(E.strongest_edges(analysis(spark, sf_dir), 20, BY).select("build_id", "edge_key", "abs_value"), "abs_value")
 
@@ -173,13 +173,27 @@ def edge_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "edge_filter_counts",
     f"WITH {analysis_sql()}, x AS (SELECT * FROM a WHERE NOT ({EXCLUDED_SQL})), t AS (SELECT build_id, quantile_cont(abs_value, 0.0005) AS th FROM x WHERE abs_value > 0 GROUP BY build_id), "
-    "y AS (SELECT x.* FROM x LEFT JOIN t ON x.build_id = t.build_id WHERE coalesce(th, 0) <= 0 OR abs_value >= th) "
-    "SELECT 'before' AS step, count(*) AS n_edges FROM a UNION ALL SELECT 'after_exclusion', count(*) FROM x UNION ALL SELECT 'after_threshold', count(*) FROM y UNION ALL SELECT 'final', least(count(*), 100) FROM y",
+    "y AS (SELECT x.* FROM x LEFT JOIN t ON x.build_id = t.build_id WHERE coalesce(th, 0) <= 0 OR abs_value >= th), "
+    "n AS (SELECT a.build_id, count(*) AS n1, count(x.edge_key) AS n2, count(y.edge_key) AS n3 FROM a LEFT JOIN x ON a.build_id = x.build_id AND a.edge_key = x.edge_key LEFT JOIN y ON a.build_id = y.build_id AND a.edge_key = y.edge_key GROUP BY a.build_id) "
+    "SELECT build_id, unnest(['before', 'after_exclusion', 'after_threshold', 'final']) AS step, unnest([n1, n2, n3, least(n3, 100)]) AS n_edges FROM n",
 )
 def edge_filter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.filter_counts(analysis(spark, sf_dir), EXCLUDED, "auto", 0.05, BY, 100)
 
 
+@query(
+    "edge_dense_pooled",
+    f"WITH {VALUES_SQL}, s AS (SELECT edge_key, coalesce(sum(vdw + coulomb), 0.0) AS vs, coalesce(sum(n_atom_pairs), 0) AS np FROM v GROUP BY edge_key), nf AS (SELECT count(DISTINCT build_id * 1000000 + frame) AS n FROM v) "
+    f"SELECT e.edge_key, e.vertex1, e.vertex2, {near('coalesce(vs, 0.0) / n', 6)} AS value, CAST(coalesce(np, 0) AS BIGINT) AS n_atom_pairs_sum FROM edges e CROSS JOIN nf LEFT JOIN s ON e.edge_key = s.edge_key",
+)
+def edge_dense_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All builds pooled to one network: the mean of every edge of the dictionary over all frames, 0 for an edge never shown."""
+    n = networks(spark, sf_dir)
+    pooled = n.values.withColumn("frame", F.col("build_id") * 1_000_000 + F.col("frame"))
+    a = E.edge_analysis(pooled, n.edges, n.vertices, n.members)
+    return rounded(a.select("edge_key", "vertex1", "vertex2", "value", "n_atom_pairs_sum"), "value", digits=6)
+
+
 def _rows(normalization: str, frames: list[int] | None, spark: SparkSession, sf_dir: str) -> DataFrame:
     n = networks(spark, sf_dir)
     return rounded(E.edge_values(n.values, n.edges, n.vertices, n.members, "vdw+cl", normalization, frames, by=BY), "value", "value_raw")
@@ -192,7 +206,7 @@ def rows_sql(value: str = "vdw+cl", normalization: str = "none", where: str = ""
   FROM (SELECT v.*, greatest(m1.n, 1) AS n_members1, greatest(m2.n, 1) AS n_members2, m1.kind AS kind1, m2.kind AS kind2 FROM v JOIN mc m1 ON v.vertex1 = m1.vertex_id JOIN mc m2 ON v.vertex2 = m2.vertex_id {where}))"""
 
 
-_ROWS = "SELECT build_id, frame, edge_key, vertex1, vertex2, round(value_raw, 4) AS value_raw, round(value, 4) AS value, n_atom_pairs FROM r"
+_ROWS = f"SELECT build_id, frame, edge_key, vertex1, vertex2, {near('value_raw', 4)} AS value_raw, {near('value', 4)} AS value, n_atom_pairs FROM r"
 FRAMES = [66, 110, 236, 250, 300, 355]
 query("edge_values_rows", f"WITH {rows_sql()} {_ROWS}")(partial(_rows, "none", None))
 query("edge_values_per_pair", f"WITH {rows_sql(normalization='per_atom_pair')} {_ROWS}")(partial(_rows, "per_atom_pair", None))
@@ -201,7 +215,7 @@ query("edge_values_frames", f"WITH {rows_sql(where=f'WHERE frame IN ({", ".join(
 
 @query(
     "edge_summary_sparse",
-    f"WITH {rows_sql(normalization='per_member_product')} SELECT build_id, edge_key, vertex1, vertex2, round(avg(value), 5) AS mean_value, round(avg(abs(value)), 5) AS mean_abs_value, count(*) AS n_rows FROM r GROUP BY build_id, edge_key, vertex1, vertex2",
+    f"WITH {rows_sql(normalization='per_member_product')} SELECT build_id, edge_key, vertex1, vertex2, {near('avg(value)', 5)} AS mean_value, {near('avg(abs(value))', 5)} AS mean_abs_value, count(*) AS n_rows FROM r GROUP BY build_id, edge_key, vertex1, vertex2",
 )
 def edge_summary_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = networks(spark, sf_dir)
@@ -300,7 +314,7 @@ def _rave(normalization: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 for _n in NORMALIZATIONS:
-    query("rave_pairs" if _n == "none" else f"rave_norm_{_n}", f"WITH {cells_sql(_n)} SELECT * REPLACE (round(value, 4) AS value) FROM cells")(partial(_rave, _n))
+    query("rave_pairs" if _n == "none" else f"rave_norm_{_n}", f"WITH {cells_sql(_n)} SELECT * REPLACE ({near('value', 4)} AS value) FROM cells")(partial(_rave, _n))
 
 
 @query(
@@ -357,10 +371,10 @@ def residue_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NEIGHBOUR_SQL = "n AS (SELECT build_id, vertex1 AS s, vertex2 AS t, value FROM a WHERE vertex1 <> vertex2 UNION ALL SELECT build_id, vertex2, vertex1, value FROM a WHERE vertex1 <> vertex2)"
 SUMMARY_SQL = {"mean": "avg(value)", "mean_abs": "avg(abs(value))", "sum": "sum(value)", "sum_abs": "sum(abs(value))", "median": "median(value)", "median_abs": "median(abs(value))"}
-PROFILE_SQL = """SELECT q.build_id, coalesce(x.molecule_type, '') AS molecule_type, x.molecule_instance, x.residue_id, category,
+PROFILE_SQL = f"""SELECT q.build_id, coalesce(x.molecule_type, '') AS molecule_type, x.molecule_instance, x.residue_id, category,
   coalesce(arg_min(x.residue_name, x.vertex_id) FILTER (WHERE trim(coalesce(x.residue_name, ''), ' ') <> ''), '') AS residue_name, count(*) AS n_vertices,
   count(*) FILTER (WHERE x.kind = 'atom') AS n_high_res_vertices, count(*) FILTER (WHERE x.kind = 'residue') AS n_residue_vertices, CAST(sum(neighbor_edges) AS BIGINT) AS n_neighbor_edges,
-  round(avg(val), 4) AS mean_neighbor_value, round(median(val), 4) AS median_neighbor_value, round(min(val), 4) AS min_neighbor_value, round(max(val), 4) AS max_neighbor_value
+  {near('avg(val)', 4)} AS mean_neighbor_value, {near('median(val)', 4)} AS median_neighbor_value, {near('min(val)', 4)} AS min_neighbor_value, {near('max(val)', 4)} AS max_neighbor_value
   FROM q JOIN vertices x ON q.vertex_id = x.vertex_id WHERE x.residue_id IS NOT NULL GROUP BY ALL"""
 
 
@@ -374,7 +388,7 @@ def _metrics(summary: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 for _n in neighbors.SUMMARIES:
-    query(f"neighbors_{_n}", f"WITH {metrics_sql(_n)} SELECT build_id, vertex_id, category, neighbor_edges, round(val, 4) AS neighbor_value FROM q")(partial(_metrics, _n))
+    query(f"neighbors_{_n}", f"WITH {metrics_sql(_n)} SELECT build_id, vertex_id, category, neighbor_edges, {near('val', 4)} AS neighbor_value FROM q")(partial(_metrics, _n))
 
 
 def _profile(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
@@ -436,9 +450,9 @@ def _graph(value: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(paths.distance_graph(analysis(spark, sf_dir, value), value, BY), "distance", digits=6)
 
 
-query("graph_edges_energy", f"WITH {graph_sql('vdw+cl')} SELECT build_id, s AS source, t AS target, round(w, 6) AS distance FROM g")(partial(_graph, "vdw+cl"))
-query("graph_edges_derivative", f"WITH {graph_sql('dvdw+dcl')} SELECT build_id, s AS source, t AS target, round(w, 6) AS distance FROM g")(partial(_graph, "dvdw+dcl"))
-_PATH = "count(*) AS reachable_vertices, round(avg(w), 5) AS mean_shortest_path, round(median(w), 5) AS median_shortest_path, round(min(w), 5) AS min_shortest_path, round(max(w), 5) AS max_shortest_path"
+query("graph_edges_energy", f"WITH {graph_sql('vdw+cl')} SELECT build_id, s AS source, t AS target, {near('w', 6)} AS distance FROM g")(partial(_graph, "vdw+cl"))
+query("graph_edges_derivative", f"WITH {graph_sql('dvdw+dcl')} SELECT build_id, s AS source, t AS target, {near('w', 6)} AS distance FROM g")(partial(_graph, "dvdw+dcl"))
+_PATH = f"count(*) AS reachable_vertices, {near('avg(w)', 5)} AS mean_shortest_path, {near('median(w)', 5)} AS median_shortest_path, {near('min(w)', 5)} AS min_shortest_path, {near('max(w)', 5)} AS max_shortest_path"
 _STATS = [f"{s}_shortest_path" for s in ("mean", "median", "min", "max")]
 
 
@@ -467,8 +481,8 @@ def shortest_path_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     "shortest_path_residue",
     f"WITH {distances_sql('vdw+cl')}, q AS (SELECT build_id, s AS vertex_id, count(*) AS reach, avg(w) AS val FROM d{SQUARINGS} WHERE s <> t GROUP BY build_id, s) "
     "SELECT q.build_id, coalesce(x.molecule_type, '') AS molecule_type, x.molecule_instance, x.residue_id, coalesce(arg_min(x.residue_name, x.vertex_id) FILTER (WHERE trim(coalesce(x.residue_name, ''), ' ') <> ''), '') AS residue_name, "
-    "count(*) AS n_vertices, count(*) FILTER (WHERE x.kind = 'atom') AS n_high_res_vertices, count(*) FILTER (WHERE x.kind = 'residue') AS n_residue_vertices, round(avg(val), 5) AS mean_shortest_path, round(median(val), 5) AS median_shortest_path, "
-    "round(min(val), 5) AS min_shortest_path, round(max(val), 5) AS max_shortest_path, round(avg(reach), 4) AS mean_reachable_vertices FROM q JOIN vertices x ON q.vertex_id = x.vertex_id WHERE x.residue_id IS NOT NULL GROUP BY ALL",
+    f"count(*) AS n_vertices, count(*) FILTER (WHERE x.kind = 'atom') AS n_high_res_vertices, count(*) FILTER (WHERE x.kind = 'residue') AS n_residue_vertices, {near('avg(val)', 5)} AS mean_shortest_path, {near('median(val)', 5)} AS median_shortest_path, "
+    f"{near('min(val)', 5)} AS min_shortest_path, {near('max(val)', 5)} AS max_shortest_path, {near('avg(reach)', 4)} AS mean_reachable_vertices FROM q JOIN vertices x ON q.vertex_id = x.vertex_id WHERE x.residue_id IS NOT NULL GROUP BY ALL",
 )
 def shortest_path_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = paths.path_profile(_path_metrics(spark, sf_dir), table(spark, sf_dir, "vertices"), BY)
@@ -477,17 +491,17 @@ def shortest_path_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "path_statistics",
-    f"WITH {distances_sql('vdw+cl')}, q AS (SELECT build_id, s, avg(w) AS val FROM d{SQUARINGS} WHERE s <> t GROUP BY build_id, s) SELECT build_id, round(min(val), 5) AS min_mean, round(median(val), 5) AS median_mean, round(max(val), 5) AS max_mean, 640 - count(*) AS n_isolated FROM q GROUP BY build_id",
+    f"WITH {distances_sql('vdw+cl')}, q AS (SELECT build_id, s, avg(w) AS val FROM d{SQUARINGS} WHERE s <> t GROUP BY build_id, s) SELECT build_id, count(DISTINCT round_even(val, 12)) AS n_distinct, {near('min(val)', 5)} AS min_mean, {near('median(val)', 5)} AS median_mean, {near('max(val)', 5)} AS max_mean, (SELECT count(*) FROM vertices) - count(*) AS n_isolated FROM q GROUP BY build_id",
 )
 def path_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = paths.path_statistics(_path_metrics(spark, sf_dir), table(spark, sf_dir, "vertices"), BY).drop("n_distinct")
+    s = paths.path_statistics(_path_metrics(spark, sf_dir), table(spark, sf_dir, "vertices"), BY)
     return rounded(s, "min_mean", "median_mean", "max_mean", digits=5)
 
 
 @query(
     "path_high_res",
     f"WITH {distances_sql('vdw+cl')}, q AS (SELECT build_id, s AS vertex_id, avg(w) AS val FROM d{SQUARINGS} WHERE s <> t GROUP BY build_id, s) SELECT build_id, q.vertex_id, CAST(row_number() OVER (PARTITION BY build_id ORDER BY x.molecule_type, x.molecule_instance NULLS LAST, x.residue_id NULLS LAST, x.atom_nr NULLS LAST, q.vertex_id) - 1 AS INT) AS plot_index, "
-    "x.label, round(val, 5) AS mean_shortest_path FROM q JOIN vertices x ON q.vertex_id = x.vertex_id WHERE x.kind = 'atom'",
+    f"x.label, {near('val', 5)} AS mean_shortest_path FROM q JOIN vertices x ON q.vertex_id = x.vertex_id WHERE x.kind = 'atom'",
 )
 def path_high_res(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = paths.high_res_profile(_path_metrics(spark, sf_dir), table(spark, sf_dir, "vertices"), BY)
@@ -525,30 +539,37 @@ def radius_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places of the member atoms in every build: three components of the embedding whose number is the atom's, with a mass."""
-    e = table(spark, sf_dir, "embeddings")
-    at = lambda i: F.element_at("embedding", i + 1).cast("double")
+    """Place of every atom, with a mass: the mean over all frames that its embedding holds, three components a frame."""
+    e = table(spark, sf_dir, "embeddings").where("size(embedding) >= 3")
+    frames = e.select("vec_id", "embedding", F.explode(F.expr("sequence(0, CAST(size(embedding) div 3 - 1 AS INT))")).alias("frame"))
+    at = lambda k: F.avg(F.get("embedding", F.col("frame") * 3 + k).cast("double"))
     mass = F.when(F.col("vec_id") % 7 != 0, (F.col("vec_id") % 5 + 1).cast("double"))
-    return e.select(F.col("vec_id").cast("int").alias("atom_index"), at(0).alias("x"), at(1).alias("y"), at(2).alias("z"), mass.alias("mass"))
+    return frames.groupBy("vec_id").agg(at(0).alias("x"), at(1).alias("y"), at(2).alias("z")).select(F.col("vec_id").cast("int").alias("atom_index"), "x", "y", "z", mass.alias("mass"))
 
 
-@query(
-    "vertex_centers",
-    "WITH p AS (SELECT CAST(vec_id AS INT) AS atom_index, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z, CASE WHEN vec_id % 7 <> 0 THEN CAST(vec_id % 5 + 1 AS DOUBLE) END AS mass FROM embeddings) "
-    "SELECT vertex_id, "
-    + ", ".join(f"round(CASE WHEN count(*) = count(mass) THEN sum(mass * {a}) / sum(mass) ELSE avg({a}) END, 6) AS {a}" for a in "xyz")
-    + " FROM vertex_members JOIN p ON vertex_members.atom_index = p.atom_index GROUP BY vertex_id",
+CENTERS_SQL = (
+    "p AS (SELECT CAST(vec_id AS INT) AS atom_index, " + ", ".join(f"avg(CAST(embedding[f * 3 + {k}] AS DOUBLE)) AS {a}" for k, a in enumerate("xyz", 1)) + ", any_value(CASE WHEN vec_id % 7 <> 0 THEN CAST(vec_id % 5 + 1 AS DOUBLE) END) AS mass "
+    "FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding) // 3)) AS f FROM embeddings) GROUP BY vec_id), "
+    "ce AS (SELECT vertex_id, " + ", ".join(f"CASE WHEN count(*) = count(mass) THEN sum(mass * {a}) / sum(mass) ELSE avg({a}) END AS {a}" for a in "xyz") + " FROM vertex_members JOIN p ON vertex_members.atom_index = p.atom_index GROUP BY vertex_id)"
 )
+
+
+@query("vertex_centers", f"WITH {CENTERS_SQL} SELECT vertex_id, " + ", ".join(f"round({a}, 6) AS {a}" for a in "xyz") + " FROM ce")
 def vertex_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(viewer.vertex_centers(table(spark, sf_dir, "vertex_members"), _coordinates(spark, sf_dir)), "x", "y", "z", digits=6)
 
 
-@query("drawn_edges")
+@query(
+    "drawn_edges",
+    f"WITH {analysis_sql('vdw+cl', 'per_coarse_member_product')}, {CENTERS_SQL}, {_AUTO.format(p=0.0005)}, k AS (SELECT a.* FROM a LEFT JOIN t ON a.build_id = t.build_id WHERE (coalesce(th, 0) <= 0 OR abs_value >= th) AND abs_value > 0) "
+    "SELECT build_id, edge_key, CASE WHEN value < 0 THEN 'blue' ELSE 'red' END AS color, round(ln(1 + abs_value) * 0.05, 4) AS radius, " + ", ".join(f"round(c{i}.{a} * 10, 3) AS {a}{i}" for i in (1, 2) for a in "xyz") + " FROM k JOIN ce c1 ON vertex1 = c1.vertex_id JOIN ce c2 ON vertex2 = c2.vertex_id",
+)
 def drawn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drawing commands of the edges of all builds."""
-    centers = viewer.vertex_centers(table(spark, sf_dir, "vertex_members"), _coordinates(spark, sf_dir)).withColumns({a: F.col(a) * 10 for a in "xyz"})
+    """What is drawn of the edges of all builds: colour, radius and both ends in angstrom."""
+    centers = viewer.to_angstrom(viewer.vertex_centers(table(spark, sf_dir, "vertex_members"), _coordinates(spark, sf_dir)), "nm")
     a = E.above_threshold(analysis(spark, sf_dir, "vdw+cl", "per_coarse_member_product"), "auto", 0.05, BY)
-    return viewer.draw_lines(viewer.drawn_edges(a, centers))
+    ends = [f"{a}{i}" for i in (1, 2) for a in "xyz"]
+    return rounded(rounded(viewer.drawn_edges(a, centers).select("build_id", "edge_key", "color", "radius", *ends), "radius"), *ends, digits=3)
 
 
 # --- streams -----------------------------------------------------------------------------------------------------------
@@ -556,7 +577,7 @@ def drawn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "stream_frame_totals",
-    "SELECT build_id, frame, count(*) AS n_rows, CAST(sum(coalesce(n_atom_pairs, 0)) AS BIGINT) AS n_atom_pairs, round(sum(CASE WHEN abs(coulomb) < 1e5 THEN CAST(coulomb AS DOUBLE) END), 3) AS coulomb FROM frame_values GROUP BY build_id, frame",
+    f"SELECT build_id, frame, count(*) AS n_rows, CAST(sum(coalesce(n_atom_pairs, 0)) AS BIGINT) AS n_atom_pairs, {near('sum(CASE WHEN isfinite(coulomb) THEN CAST(coulomb AS DOUBLE) END)', 3)} AS coulomb FROM frame_values GROUP BY build_id, frame",
 )
 def stream_frame_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftgraph.streaming.frames import stream_frame_totals as totals
@@ -565,25 +586,3 @@ def stream_frame_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = spark.read.parquet(f"{sf_dir}/frame_values.parquet").inputFiles()[0].rpartition("/")[0]
     single = not folder.endswith("frame_values.parquet")
     return rounded(totals(spark, folder, "frame_values.parquet" if single else None), "coulomb", digits=3)
-
-
-# --- the same over all current rows ----------------------------------------------------------------------------------
-
-WHOLE_SQL = VALUES_SQL.replace(
-    "v AS (SELECT * FROM c WHERE rn = 1 AND abs(vdw) < 1e5 AND abs(coulomb) < 1e5 AND abs(vdw_dif) < 1e5 AND abs(coulomb_dif) < 1e5)",
-    "v AS (SELECT * REPLACE (" + ", ".join(f"CASE WHEN isfinite({c}) THEN {c} END AS {c}" for c in ENERGIES) + ") FROM c WHERE rn = 1)",
-)
-
-
-def _whole(f: Query, spark: SparkSession, sf_dir: str) -> DataFrame:
-    token = _ALL_ROWS.set(True)
-    try:
-        return f(spark, sf_dir)
-    finally:
-        _ALL_ROWS.reset(token)
-
-
-for _n, _q in list(SQL.items()):
-    if VALUES_SQL in _q:
-        # an edge whose readings are all unusable is there, with 0 as in edge_analysis
-        query(f"{_n}_whole", _q.replace(VALUES_SQL, WHOLE_SQL).replace("vs / nf AS value_raw", "coalesce(vs, 0.0) / nf AS value_raw"))(partial(_whole, QUERIES[_n]))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.functions.values import finite
 from weftgraph.session import shared_folder
 
 
 def frame_totals(rows: DataFrame) -> DataFrame:
-    """Rows, pairs and the coulomb sum of every frame of every build."""
+    """Rows, pairs and the sum of the finite coulomb readings of every frame of every build."""
     x = F.col("coulomb").cast("double")
-    good = F.when(~F.isnan(x) & (F.abs(x) < 1e5), x)
+    good = F.when(finite(x), x)
     return rows.groupBy("build_id", "frame").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.coalesce("n_atom_pairs", F.lit(0)).cast("long")).alias("n_atom_pairs"), F.sum(good).alias("coulomb"))
 
 
