@@ -153,11 +153,7 @@ def test_leaks_planted_and_not(spark):
     ev = spark.createDataFrame(items, "item_id int, passage string, doc_id int")
     got = {(r.doc_id, r.item_id) for r in L.leaked_items(df, ev).collect()}
     assert got == want
-    passes, L.ITEM_WORDS_PER_PASS = L.ITEM_WORDS_PER_PASS, 500
-    try:
-        assert {(r.doc_id, r.item_id) for r in L.leaked_items(df, ev).collect()} == want
-    finally:
-        L.ITEM_WORDS_PER_PASS = passes
+    assert {(r.doc_id, r.item_id) for r in L.leaked_items(df, ev, max_held_words=500).collect()} == want
     assert L.leaked_items(df.limit(0), ev).count() == 0 and L.leaked_items(df, ev.limit(0)).count() == 0
 
 
@@ -202,3 +198,62 @@ def test_leaks_with_words_left_out_and_put_in(spark):
     docs = [(k, mail(" ".join([*around, *p, *around]))) for k, p in enumerate((left_out, put_in, scrap))]
     found = L.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id int, passage string"))
     assert {(r.doc_id, r.share) for r in found.collect()} == {(0, 30 / 90), (1, 30 / 90)}
+
+
+def _leak_tables(spark, docs, items):
+    return spark.createDataFrame([(k, mail(" ".join(w))) for k, w in enumerate(docs)], "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id int, passage string")
+
+
+def test_windows_joined_by_block_find_the_same(spark):
+    rnd = random.Random(11)
+    items = [rnd.choices(VOCABULARY, k=rnd.randrange(60, 140)) for _ in range(12)] + [["one", "two", "three"]]
+    docs = []
+    for d in range(60):
+        item = rnd.choice(items)
+        part = list(item[: int(len(item) * rnd.choice([0.2, 0.5, 1.0]))])
+        if len(part) > 10:
+            part[rnd.randrange(1, len(part) - 1)] = "altered"
+        docs.append([*rnd.choices(VOCABULARY, k=50), *part, *rnd.choices(VOCABULARY, k=50)])
+    tables = _leak_tables(spark, docs, items)
+    held = sorted(map(tuple, L.leaked_items(*tables).collect()))
+    assert held and sorted(map(tuple, L.leaked_items(*tables, max_held_words=10).collect())) == held
+
+
+def test_the_radius_finds_what_equal_fingerprints_miss(spark):
+    """Windows of item size: each holds an altered word, so none is equal, but some fingerprints lie within the radius."""
+    rnd = random.Random(5)
+    items = [rnd.sample(VOCABULARY, 80) for _ in range(30)]
+    docs = []
+    for item in items:
+        part = list(item)
+        part[26] = part[53] = "altered"
+        docs.append(part)
+    tables = _leak_tables(spark, docs, items)
+    at = {r: {x.item_id for x in L.leaked_items(*tables, radius=r, window=60).collect()} for r in (0, 3)}
+    assert not at[0] and len(at[3]) > 5
+    assert {x.item_id for x in L.leaked_items(*tables).collect()} == set(range(30))
+
+
+def test_stock_lines_and_short_items(spark):
+    rnd = random.Random(3)
+    stock = [f"s{k}" for k in range(20)]
+    items = [[*stock, *rnd.sample(VOCABULARY, 25)] for _ in range(20)] + [["tiny", "item"], ["four", "words", "in", "all"]]
+    docs = [["x", *stock, "y"], [*stock, *items[3][20:]], ["a", "tiny", "item", "b"], ["four", "words", "in"], ["four", "words", "in", "all"], ["tiny", "x", "item"]]
+    found = {(r.doc_id, r.item_id): r for r in L.leaked_items(*_leak_tables(spark, docs, items)).collect()}
+    assert set(found) == {(1, 3), (2, 20), (4, 21)}
+    assert found[1, 3].share == 1 and found[1, 3].weight == pytest.approx(1)
+
+
+def test_alignment_of_long_items_in_blocks():
+    rnd = np.random.default_rng(4)
+    item = rnd.integers(1, 1 << 60, 1500, np.uint64)
+    doc = np.concatenate([item[:400], item[405:900], rnd.integers(1, 1 << 60, 3, np.uint64), item[900:]])
+    rows, L.BLOCK_ROWS = L.BLOCK_ROWS, 100
+    try:
+        a = L.aligned([(doc, item, -20, 20), (doc, item[:30], -5, 5)])
+    finally:
+        L.BLOCK_ROWS = rows
+    b = L.aligned([(doc, item, -20, 20)])
+    assert all((x == y).all() for x, y in zip(a[0], b[0], strict=True))
+    equal, of_item = a[0]
+    assert of_item.sum() == 1500 and (~equal).sum() == 8 and a[1][0].all() and len(a[1][0]) == 30

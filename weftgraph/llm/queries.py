@@ -75,7 +75,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every affected message with the items it holds and the share of each item."""
+    """Every affected message with the items it holds, the share of each item's words and of its shingle weight."""
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
