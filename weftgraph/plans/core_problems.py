@@ -52,7 +52,7 @@ def p5_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _p6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     packs = C.consolidate(table(spark, sf_dir, "part_files"))
-    return C.distinct_records(C.value_records(C.read_bodies(spark, packs)))
+    return C.distinct_records(C.read_records(spark, packs))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,10 +60,10 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The consolidated files: bodies, bytes and share of the target size of each."""
+    """The consolidated files: bodies and bytes of each class, told by its header, and whether every length claimed was right."""
     packs = C.consolidate(table(spark, sf_dir, "part_files"))
-    m = packs.manifest_of(spark)
-    return m.groupBy("cls", "pack").agg(F.sum("part").alias("bodies"), F.sum(F.col("length") + 1).alias("bytes"))
+    m = spark.read.parquet(packs.manifest).select("header", F.inline("parts"))
+    return m.groupBy("header").agg(F.count(F.lit(1)).alias("bodies"), F.sum("length").alias("bytes"), F.bool_and("size_ok").alias("sizes_ok"))
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_medians": p2_medians, "p5_found": p5_found, "p5_totals": p5_totals, "p6_found": p6_found, "p6_packs": p6_packs}
@@ -90,6 +90,10 @@ k AS (SELECT build_id, 'vertex1' AS key_field, CAST(vertex1 AS VARCHAR) AS key_v
   UNION ALL SELECT build_id, 'kind', kind, sum(coalesce(n_atom_pairs, 0)) FROM w WHERE kind IS NOT NULL GROUP BY build_id, kind)
 SELECT k.build_id, key_field, key_value FROM k JOIN t ON k.build_id = t.build_id WHERE s >= bt / 20.0""",
     "p5_totals": f"WITH {_CURRENT} SELECT build_id, vertex1, CAST(sum(coalesce(n_atom_pairs, 0)) AS BIGINT) AS n_atom_pairs_sum, count(*) AS n_rows FROM w GROUP BY build_id, vertex1",
+    "p6_packs": r"""WITH f AS (SELECT build_id, payload, n_bytes = strlen(payload) AS ok, regexp_extract(payload, '^\s*([^\r\n]*)', 1) AS first, regexp_extract(payload, '^(\s*[\r\n])*([ \t]*[^\r\n]*[\r\n]*)', 2) AS lead FROM part_files WHERE trim(payload, e' \t\r\n') <> ''),
+h AS (SELECT *, CASE WHEN first LIKE '{%' THEN '{}' WHEN regexp_matches(first, '^[-+0-9]') THEN '' ELSE trim(first) END AS header FROM f),
+b AS (SELECT build_id, header, ok, CASE WHEN header IN ('', '{}') THEN substr(payload, strpos(payload, first)) ELSE substr(payload, strpos(payload, lead) + length(lead)) END AS body FROM h),
+d AS (SELECT build_id, header, body, bool_and(ok) AS ok FROM b WHERE trim(body, e' \t\r\n') <> '' GROUP BY build_id, header, body) SELECT header, count(*) AS bodies, CAST(sum(strlen(body)) AS BIGINT) AS bytes, bool_and(ok) AS sizes_ok FROM d GROUP BY header""",
     "p6_found": r"""WITH f AS (SELECT build_id, payload, payload LIKE 'edge_key,%' AS csv FROM part_files), l AS (SELECT build_id, csv, unnest(regexp_split_to_array(payload, '\r\n|\n|\r')) AS line FROM f),
 p AS (SELECT build_id, CASE WHEN line LIKE '{%' THEN ['j', CAST(json_extract(j, '$.frame') AS VARCHAR), CAST(json_extract(j, '$.edge_key') AS VARCHAR), CAST(json_extract(j, '$.n_atom_pairs') AS VARCHAR)]
   WHEN csv THEN ['c', split_part(line, ',', 2), split_part(line, ',', 1), split_part(line, ',', 5)] ELSE ['t', split_part(line, chr(9), 1), split_part(line, chr(9), 2), split_part(line, chr(9), 5)] END AS x
