@@ -21,7 +21,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = values.join(known, "edge_key", "left_semi")
     energies = spikes.implausible_readings(rows, ["build_id", "edge_key"], "frame", "row_id", {"vdw": ENERGY, "vdw_dif": ENERGY})
     fractions = spikes.implausible_readings(table(spark, sf_dir, "scale_inference"), ["source_id"], "built_at", "build_id", {"too_close_fraction_nm": FRACTION})
-    return energies.unionByName(fractions.distinct())
+    return energies.select("field", "key_id").unionByName(fractions.select("field", "key_id").distinct())
 
 
 def p2_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
