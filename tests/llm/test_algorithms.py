@@ -20,7 +20,7 @@ def test_sketch_keeps_its_bound(seed, kind, n):
     for part in np.array_split(x, 5):
         s.merge(Q.RelativeSketch(16).update(part))
     s = Q.RelativeSketch.from_bytes(s.to_bytes())
-    assert s.n == n and sum(len(a) * 2**h for h, a in enumerate(s.levels)) == n
+    assert s.n == n and sum(len(a) * 2**h for h, a in enumerate(s.levels)) == n and len(s.edges) == len(s.state) == len(s.levels)
     x.sort()
     for p in (0.0, 0.25, 0.5, 0.95, 0.99, 0.999, 1.0):
         v, e = s.quantiles([p])[0], s.error_bound(p) * n + 1
@@ -35,7 +35,27 @@ def test_high_ranks_are_finer_than_the_middle():
     x.sort()
     off = {p: abs(np.searchsorted(x, s.quantiles([p])[0]) / len(x) - p) for p in (0.5, 0.99, 0.9999)}
     assert off[0.5] < 0.01 and off[0.99] < 0.001 and off[0.9999] < 0.00002
-    assert sum(map(len, s.levels)) < 30_000
+    assert sum(map(len, s.levels)) < 30_000 and s.error_bound(0.9999) < 0.05 * 0.0001
+
+
+@pytest.mark.parametrize("kind", ["normal", "sorted", "falling", "heavy"])
+def test_the_bound_does_not_grow_with_merges(kind):
+    """400 sketches of 100,000 values, merged one after the other and in rounds."""
+    rng = np.random.default_rng(9)
+    make = {"normal": lambda k: rng.normal(size=100_000), "sorted": lambda k: np.arange(100_000.0) + k * 100_000, "falling": lambda k: -np.arange(100_000.0) - k * 100_000, "heavy": lambda k: rng.pareto(0.5, 100_000)}[kind]
+    whole, rounds = Q.RelativeSketch(), []
+    for k in range(400):
+        part = Q.RelativeSketch().update(make(k))
+        if k % 20 == 0:
+            rounds.append(Q.RelativeSketch())
+        rounds[-1].merge(Q.RelativeSketch.from_bytes(part.to_bytes()))
+        whole.merge(part)
+    tree = Q.RelativeSketch()
+    for r in rounds:
+        tree.merge(r)
+    for s in (whole, tree):
+        assert s.n == 40_000_000 and s.error_bound(0.999) <= 0.05 * 0.001 and s.error_bound(0.9999) <= 0.05 * 0.0001 and s.error_bound(0.5) < 0.01
+        assert len(s.to_bytes()) < 2_500_000
 
 
 def test_groups_and_days_combine(spark):

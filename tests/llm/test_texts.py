@@ -171,6 +171,14 @@ def test_genetic_operators_keep_every_item():
     assert one[0].bin_of.tolist() == [0]
 
 
+def test_evolution_saves_containers_over_best_fit():
+    for seed in range(3):
+        sizes = np.random.default_rng(seed).integers(1500, 4000, 600)
+        best = evolve(sizes, [], 8192, np.random.default_rng([seed, 1]), 6, 8)[0]
+        assert np.bincount(best.bin_of, sizes).max() <= 8192 and (best.bin_of >= 0).all()
+        assert len(best.fill) <= len(seeded(sizes, 8192, np.random.default_rng(0), 0.0).fill) - 3
+
+
 def test_packing_of_a_table(spark):
     rnd = random.Random(1)
     rows = [(i, "x" * rnd.randrange(1, 5000), i) for i in range(1500)] + [(2000, "é" * 9000, 0), (2001, "y" * 8192, 0), (2002, None, 0), (2003, "", 0)] + [(7, "same", 0)] * 30

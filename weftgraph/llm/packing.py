@@ -20,6 +20,7 @@ from weftgraph.session import written
 CAPACITY = 8192
 SHARD_ITEMS = 1024
 ISLANDS, EPOCHS, GENERATIONS, POPULATION, ELITE = 4, 2, 6, 8, 2
+EXCHANGES = 3
 
 
 class Packing:
@@ -83,14 +84,42 @@ def crossover(a: Packing, b: Packing, sizes: np.ndarray, capacity: int, rng: np.
     return child.compact()
 
 
+def exchanged(p: Packing, loose: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """Put loose items into bins in exchange for smaller ones, each where it leaves the least room; returns what is loose then. Bins only
+    get fuller, so what has to be placed at the end is smaller."""
+    fill = np.array(p.fill)
+    loose = loose.tolist()
+    for _ in range(EXCHANGES):
+        moved = False
+        for k in np.argsort(-sizes[loose], kind="stable").tolist():
+            i = loose[k]
+            placed = p.bin_of >= 0
+            left = np.where(placed, sizes + capacity - fill[p.bin_of] - sizes[i], -1)
+            left[(left < 0) | (sizes >= sizes[i])] = capacity + 1
+            j = int(left.argmin())
+            if left[j] > capacity:
+                continue
+            b = p.bin_of[j]
+            p.bin_of[i], p.bin_of[j] = b, -1
+            fill[b] += sizes[i] - sizes[j]
+            loose[k] = j
+            moved = True
+        if not moved:
+            break
+    p.fill = fill.tolist()
+    return np.array(loose)
+
+
 def mutated(p: Packing, sizes: np.ndarray, capacity: int, rng: np.random.Generator) -> Packing:
-    """Empty the least full bin and a few others, and place their items again."""
+    """Empty the least full bin and a few others, exchange their items for smaller ones, and place what is loose again."""
     fill = np.array(p.fill)
     chosen = np.zeros(len(fill), bool)
     chosen[np.argmin(fill)] = True
     chosen[rng.integers(0, len(fill), max(1, len(fill) // 30))] = True
     loose = np.flatnonzero(chosen[p.bin_of])
     q = Packing(p.bin_of.copy(), np.where(chosen, 0, fill).tolist())
+    q.bin_of[loose] = -1
+    loose = exchanged(q, loose, sizes, capacity)
     best_fit(q, loose[np.argsort(-sizes[loose], kind="stable")], sizes, capacity)
     return q.compact()
 

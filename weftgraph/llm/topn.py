@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftgraph.session import written
+
 
 def top_n(df: DataFrame, group: list[str], score: str, ties: list[str], n: int, partitions: int | None = None) -> DataFrame:
     """The ``n`` rows of each group with the greatest ``score``, with their exact ``position`` from 1 on.
@@ -70,5 +72,6 @@ def top_rows_of_vertices(current: DataFrame, n: int) -> DataFrame:
         "build_id", "frame_block", "frame", "edge_key", "coulomb", F.explode(F.array_distinct(F.array("vertex1", "vertex2"))).alias("vertex_id")
     )
     within = Window.partitionBy("build_id", "frame_block", "vertex_id").orderBy(F.desc("coulomb"), "edge_key", "frame")
-    best = ends.withColumn("_n", F.row_number().over(within)).where(F.col("_n") <= n)
+    best = ends.withColumn("_n", F.row_number().over(within)).where(F.col("_n") <= n).drop("_n")
+    best = written(best, "best")  # the range partitioning reads its input twice
     return top_n(best, ["build_id", "vertex_id"], "coulomb", ["edge_key", "frame"], n)
