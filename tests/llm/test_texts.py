@@ -57,8 +57,38 @@ def test_thai_and_blocks():
     assert blocks_of("a\n-----Original\nb") == ["a"] and blocks_of("") == []
 
 
+@pytest.mark.parametrize(
+    "want",
+    [
+        ["She moved to 東京 in May.", "Then she left.", "Nobody knew why."],
+        ["The word ไทย is short, and so is ภาษา ไทย here.", "Is it?", "Yes."],
+        ['He wrote: "One is here. Two is here. Three is here." and then left.', "Next."],
+        ["It (see a. One b. Two c. Three d. Four e. Five.) was long.", "So what?"],
+        ["Er sagte: „Eins ist da. Zwei ist da. Drei ist da.“ und ging.", "Gut."],
+        ["He read 東京です。", "Then he left the room.", "It was late."],
+    ],
+)
+def test_runs_of_scripts_and_long_quotations(want):
+    assert sentences_of(" ".join(want), D) == want
+
+
+def test_runs_inside_spaceless_and_thai_blocks():
+    assert sentences_of("我们昨天完成了全部计算。The run was quite long. Then it was over at last. 现在开始新的计算工作。", D) == ["我们昨天完成了全部计算。", "The run was quite long.", "Then it was over at last.", "现在开始新的计算工作。"]
+    assert sentences_of("ทำไมกล่องว่าง? See Fig. 3 of it. Then go on. กล่องใช้ที่มากไป", D) == ["ทำไมกล่องว่าง?", "See Fig. 3 of it.", "Then go on.", "กล่องใช้ที่มากไป"]
+
+
+def test_dictionary_goes_by_shares(spark):
+    from weftgraph.llm.sentences import LEAST_SHARE, WORD_LENGTH, dictionary_rows
+
+    few = [("今", 50, 0), ("今日", 50, 0), ("今日は", 4, 0), ("然", 9, 8), ("次", 2, 2)]
+    for k in (1, 40_000):
+        rows = {r.word: r for r in dictionary_rows(spark.createDataFrame([(w, n * k, d * k) for w, n, d in few], "word string, n long, n_doubtful long")).collect()}
+        assert {"今日", "然"} <= set(rows) and rows["今日"].weight < 0 and rows["然"].doubtful and not rows["今日"].doubtful
+    assert WORD_LENGTH / LEAST_SHARE == 120_000
+
+
 def test_word_lattice():
-    words = dictionary_of([("今", 50, 0), ("今日", 50, 0), ("今日は", 9, 0), ("日本", 30, 0)])
+    words = dictionary_of([("今日", -2.1, False), ("今日は", -4.2, False), ("日本", -2.6, False)])
     assert lattice_words("今日日本と", words) == ["今日", "日本", "と"]
     assert lattice_words("", words) == []
 
@@ -91,6 +121,15 @@ def test_mail_parts():
     assert html_text("<style>p {}</style><p>a <i>b</i>&nbsp;&amp; c</p>").split() == ["a", "b", "&", "c"]
 
 
+def test_deep_multiparts_and_attached_messages():
+    inner = mail("deep")
+    for k in range(1500):
+        inner = multi([inner], f"=_{k}_")
+    assert [p.text.strip() for p in text_parts(inner)] == ["deep"]
+    forwarded = multi(["Content-Type: message/rfc822\n\nSubject: old\n" + mail("old text"), mail("new text")])
+    assert [(p.attached, p.text.strip()) for p in text_parts(forwarded)] == [(True, "old text"), (False, "new text")] and plain_body(forwarded).strip() == "new text"
+
+
 def test_sentences_of_a_table(spark):
     rows = [(1, mail("One two. Three."), "en"), (2, None, "en"), (3, "", None), (4, mail("<p>x</p>", "text/html"), "en"), (5, mail("One two. Three."), "x"), (5, mail("One two. Three."), "x"), (6, mail("word " * 50_000), "en")]
     got = {(r.doc_id, r.sentence) for r in sentences(spark.createDataFrame(rows, "doc_id long, text string, sentence string")).collect()}

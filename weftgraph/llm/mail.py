@@ -11,7 +11,6 @@ from typing import NamedTuple
 _HEADER = re.compile(r"^(content-type|content-transfer-encoding|content-disposition)[ \t]*:[ \t]*((?:[^\n]*)(?:\n[ \t][^\n]*)*)", re.I | re.M)
 _PARAM = {name: re.compile(rf'\b{name}[ \t]*=[ \t]*(?:"([^"]*)"|([^\s;"]+))', re.I) for name in ("boundary", "charset")}
 _NOT_BASE64 = re.compile(r"[^A-Za-z0-9+/]")
-MAX_DEPTH = 20
 
 
 class Part(NamedTuple):
@@ -66,30 +65,29 @@ def _pieces(body: str, boundary: str) -> list[str]:
     return out
 
 
-def _walk(text: str, depth: int, out: list[Part]) -> None:
-    if text.startswith("\n"):
-        head, body = "", text[1:]
-    else:
-        head, _, body = text.partition("\n\n")
-    fields = {m[1].lower(): m[2] for m in reversed(list(_HEADER.finditer(head)))}
-    kind_field = fields.get("content-type", "text/plain")
-    kind = kind_field.split(";", 1)[0].strip().lower() or "text/plain"
-    boundary = _param(kind_field, "boundary")
-    if kind.startswith("multipart/") and boundary and depth < MAX_DEPTH:
-        for piece in _pieces(body, boundary):
-            _walk(piece, depth + 1, out)
-        return
-    attached = fields.get("content-disposition", "").strip().lower().startswith("attachment")
-    if kind.startswith("text/"):
-        encoding = fields.get("content-transfer-encoding", "").strip().lower()
-        out.append(Part(kind, attached, _decoded(body, encoding, _param(kind_field, "charset"))))
-
-
 def text_parts(message: str | None) -> list[Part]:
-    """All text parts of a message in their order, attachments included; none for a null or empty message."""
+    """All text parts of a message in their order, however deep, attachments and attached messages included; none for a null or empty
+    message. What an attached message holds counts as attached."""
     out: list[Part] = []
-    if message:
-        _walk(message.replace("\r\n", "\n").replace("\r", "\n") if "\r" in message else message, 0, out)
+    todo = [(message.replace("\r\n", "\n").replace("\r", "\n") if "\r" in message else message, False)] if message else []
+    while todo:
+        text, inside = todo.pop()
+        if text.startswith("\n"):
+            head, body = "", text[1:]
+        else:
+            head, _, body = text.partition("\n\n")
+        fields = {m[1].lower(): m[2] for m in reversed(list(_HEADER.finditer(head)))}
+        kind_field = fields.get("content-type", "text/plain")
+        kind = kind_field.split(";", 1)[0].strip().lower() or "text/plain"
+        boundary = _param(kind_field, "boundary")
+        attached = inside or fields.get("content-disposition", "").strip().lower().startswith("attachment")
+        encoding = fields.get("content-transfer-encoding", "").strip().lower()
+        if kind.startswith("multipart/") and boundary:
+            todo += [(piece, attached) for piece in reversed(_pieces(body, boundary))]
+        elif kind == "message/rfc822":
+            todo.append((_decoded(body, encoding, None), True))
+        elif kind.startswith("text/"):
+            out.append(Part(kind, attached, _decoded(body, encoding, _param(kind_field, "charset"))))
     return out
 
 

@@ -97,8 +97,8 @@ def p7_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = written(pack_documents(table(spark, sf_dir, "documents")), "packed")
     by_doc = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("size").alias("bytes"))
     docs = by_doc.agg(F.count(F.lit(1)).alias("documents"), F.sum("pieces").alias("pieces"), F.sum("bytes").alias("bytes"), F.count_if(F.col("pieces") > 1).alias("split"))
-    most = packed.groupBy("container").agg(F.sum("size").alias("fill")).agg((F.max("fill") <= CAPACITY).alias("fits"))
-    return docs.join(F.broadcast(most))  # one row each
+    most = packed.groupBy("container").agg(F.sum("size").alias("fill")).agg(F.max("fill")).first()[0] or 0
+    return docs.withColumn("fits", F.lit(most <= CAPACITY))
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:

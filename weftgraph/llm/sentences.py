@@ -4,7 +4,7 @@ Bodies are cut into blocks. In spaced scripts the terminators of a block form a
 possible sentence, with costs for the gaps it ends or bridges and for quotes and brackets it leaves open; the cheapest path
 wins. Spaceless scripts are read by a word lattice over a dictionary of particles and of opening words that is counted over all
 documents; final particles and opening words around an end mark decide whether the sentence goes on. Thai sentences are
-separated by blanks.
+separated by blanks. Which rules hold is told for each run of a script, not for the block.
 """
 
 from __future__ import annotations
@@ -42,9 +42,13 @@ END = ".!?…।॥؟۔。．！？｡"
 OPENERS, CLOSERS = "([{«„“‘「『（【《〈", ")]}»”’」』）】》〉"
 SPACELESS = re.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿]")
 THAI = re.compile(r"[฀-๿]")
-SURE, OPEN_COST, ENUM_COST = 8.0, 6.0, 12.0
-#: A dictionary word has at most this many characters; the counted dictionary holds at most DICTIONARY_WORDS words.
-WORD_LENGTH, DICTIONARY_WORDS = 6, 20_000
+#: A mark left open outweighs any number of stops.
+SURE, OPEN_COST, ENUM_COST = 8.0, 1e9, 12.0
+#: A dictionary word has at most so many characters and at least this share of the openings, which so many assumed ones are added to. By
+#: its shares the dictionary has at most WORD_LENGTH / LEAST_SHARE words, however large the corpus.
+WORD_LENGTH, LEAST_SHARE, ASSUMED = 6, 1 / 20_000, 90_000
+#: Words between blanks that a run of a spaced script inside a spaceless one must have to be read by the lattice of terminators.
+RUN_WORDS = 5
 
 
 def blocks_of(body: str) -> list[str]:
@@ -225,7 +229,10 @@ def lattice_words(text: str, dictionary: dict[str, float]) -> list[str]:
     return out[::-1]
 
 
-_MARK = re.compile(r"(?:[。．！？｡!?]+|…+|(?<=[぀-鿿])\.(?!\d))([」』”’\"')）】》〉]*)")
+_CLOSING = r"([」』”’\"')）】》〉]*)"
+_MARK = re.compile(rf"(?:[。．！？｡!?]+|…+|(?<=[぀-鿿])\.(?!\d)){_CLOSING}")
+#: Between words of a spaced script only full-width marks, and those that follow a spaceless letter, end a sentence without a blank.
+_WIDE_MARK = re.compile(rf"(?:[。．！？｡]+|(?<=[぀-鿿])(?:[!?]+|…+|\.(?!\d))){_CLOSING}")
 
 
 def _depth(text: str) -> int:
@@ -233,38 +240,78 @@ def _depth(text: str) -> int:
     return sum(text.count(o) - text.count(c) for o, c in ("「」", "『』", "“”", "（）", "()", "《》", "【】")) + text.count('"') % 2
 
 
-def spaceless_sentences(block: str, dictionary: dict[str, float]) -> list[str]:
-    """Sentences of a Chinese or Japanese block: end marks outside quotations, unless the words around say that it goes on."""
+def spaceless_sentences(block: str, dictionary: dict[str, float], marks: re.Pattern[str] = _MARK) -> list[str]:
+    """Sentences of a Chinese or Japanese block: end marks outside quotations, unless the words around say that it goes on. Doubtful
+    marks, after an ellipsis or a quotation, are decided by the word lattices of the sentence before and of the one after."""
     out, cut = [], 0
-    for m in _MARK.finditer(block):
+    for m in marks.finditer(block):
         if m.start() < cut:
             continue
         rest = block[m.end() :].lstrip()
         if not rest:
             break
         so_far = block[cut : m.end()]
-        if _depth(so_far) > 0:
-            continue
-        nxt = lattice_words(rest[: 2 * WORD_LENGTH], dictionary)
-        before = lattice_words(re.sub(r"[^぀-鿿]+$", "", block[max(cut, m.start() - 2 * WORD_LENGTH) : m.start()]), dictionary)
-        if nxt and nxt[0] in CONTINUERS and (m[1] or block[m.start()] == "…"):
-            continue
-        if block[m.start()] == "…" and not (before and before[-1] in FINALS) and dictionary.get("\x00" + nxt[0], 0.0) < 0:
-            continue
-        if rest[0] in "，、；：,;:":
+        if _depth(so_far) > 0 or rest[0] in "，、；：,;:":
             continue
+        ellipsis = block[m.start()] == "…"
+        if m[1] or ellipsis:
+            end = marks.search(rest)
+            nxt = lattice_words(rest[: end.start()] if end and end.start() else rest, dictionary)
+            if nxt[0] in CONTINUERS:
+                continue
+            if ellipsis and dictionary.get("\x00" + nxt[0], 0.0) < 0:
+                before = lattice_words(re.sub(r"[^぀-鿿]+$", "", block[cut : m.start()]), dictionary)
+                if not (before and before[-1] in FINALS):
+                    continue
         out.append(so_far.strip())
         cut = m.end()
     tail = block[cut:].strip()
     return [*out, tail] if tail else out
 
 
+_THAI_LETTERS, _SPACELESS_LETTERS = re.compile(r"[ก-๎]"), re.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿]")
+_SPACELESS_RUN = re.compile(r"[^぀-ヿ㐀-䶿一-鿿豈-﫿。．！？｡「」『』，、；：]+")
+
+
+def thai_sentences(block: str) -> list[str]:
+    """A blank ends a sentence beside a Thai word; runs of other words are read by the lattice of terminators."""
+    out: list[str] = []
+    run: list[str] = []
+    for word in [*block.split(), "ก"]:
+        if not THAI.search(word):
+            run.append(word)
+            continue
+        if run:
+            out += spaced_sentences(" ".join(run))
+            run = []
+        out.append(word)
+    return out[:-1]
+
+
 def sentences_of(block: str, dictionary: dict[str, float]) -> list[str]:
-    if THAI.search(block):
-        return block.split()
-    if SPACELESS.search(block):
-        return spaceless_sentences(block, dictionary)
-    return spaced_sentences(block)
+    """The sentences of a block, each run of it by the rules of its script."""
+    thai, spaceless = len(_THAI_LETTERS.findall(block)), len(_SPACELESS_LETTERS.findall(block))
+    if not thai and not spaceless:
+        return spaced_sentences(block)
+    others = sum(map(str.isalpha, block)) - thai - spaceless
+    if thai > others + spaceless:
+        return thai_sentences(block)
+    if not spaceless:
+        return spaced_sentences(block)
+    if others > spaceless:  # a spaced script with some words of a spaceless one
+        return [x for part in spaced_sentences(block) for x in (spaceless_sentences(part, dictionary, _WIDE_MARK) if SPACELESS.search(part) else [part])]
+    out = []
+    for part in spaceless_sentences(block, dictionary):
+        cut = 0
+        for run in _SPACELESS_RUN.finditer(part):
+            if len(run[0].split()) >= RUN_WORDS and not _depth(part[: run.start()]):
+                at = run.start()
+                for piece in spaced_sentences(run[0])[:-1]:
+                    at = part.index(piece, at) + len(piece)
+                    out.append(part[cut:at].strip())
+                    cut = at
+        out.append(part[cut:].strip())
+    return [x for x in out if x]
 
 
 def mail_blocks(documents: DataFrame) -> DataFrame:
@@ -296,16 +343,24 @@ def opening_words(blocks: DataFrame) -> DataFrame:
     return prefixes.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_doubtful").alias("n_doubtful"))
 
 
-def dictionary_of(counts: list[tuple[str, int, int]]) -> dict[str, float]:
-    """Log weights of words. A prefix that always goes on in the same way is no word of its own, so longer ones gain by length;
-    under "\\x00" + word a negative entry says that the word stands after doubtful gaps rather than sure ones."""
-    total = sum(n for w, n, _ in counts if len(w) == 1) or 1
+def dictionary_rows(counts: DataFrame) -> DataFrame:
+    """word, weight and doubtful of the counted words that are frequent enough, by shares alone, so that a corpus of any size is treated
+    alike. The weight is the logarithm of the share, longer words gain by length as a prefix that always goes on in the same way is no
+    word of its own; doubtful says that the word stands after doubtful gaps rather than sure ones."""
+    total = counts.where("length(word) = 1").agg(F.sum("n")).first()[0] or 0
+    share = F.col("n") / (total + ASSUMED)
+    rows = counts.select("word", F.when((F.length("word") > 1) & (share >= LEAST_SHARE), F.ln(F.col("n") / (total + 1.0)) - 2.0).alias("weight"), ((F.col("n_doubtful") + 1) / (F.col("n") + 4) > 0.5).alias("doubtful"), share.alias("share"))
+    return rows.where((F.col("share") >= LEAST_SHARE) & (F.col("weight").isNotNull() | F.col("doubtful"))).drop("share")
+
+
+def dictionary_of(rows: list[tuple[str, float | None, bool]]) -> dict[str, float]:
+    """Log weights of words; under "\\x00" + word a negative entry says that the word is doubtful."""
     out: dict[str, float] = {}
-    for w, n, doubtful in counts:
-        if len(w) > 1 and n >= 5:
-            out[w] = math.log(n / total) - 2.0
-        if n >= 3 and 2 * doubtful > n:
-            out["\x00" + w] = -1.0
+    for word, weight, doubtful in rows:
+        if weight is not None:
+            out[word] = weight
+        if doubtful:
+            out["\x00" + word] = -1.0
     return out | dict.fromkeys(CONTINUERS | FINALS, -1.5)
 
 
@@ -316,14 +371,15 @@ def sentences(documents: DataFrame) -> DataFrame:
     spans of any length are weighed. Repeated messages give their sentences under each doc_id.
     """
     blocks = written(mail_blocks(documents), "blocks")
-    top = opening_words(blocks).orderBy(F.desc("n"), "word").limit(DICTIONARY_WORDS)
-    dictionary = dictionary_of([tuple(r) for r in top.collect()])  # at most DICTIONARY_WORDS short words
+    counts = written(opening_words(blocks), "openings")
+    words = dictionary_of([tuple(r) for r in dictionary_rows(counts).collect()])  # at most WORD_LENGTH / LEAST_SHARE short words
+    dictionary = blocks.sparkSession.sparkContext.broadcast(words)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, out = [], []
             for i, block in zip(batch.column("doc_id").to_pylist(), batch.column("block").to_pylist(), strict=True):
-                s = sentences_of(block, dictionary)
+                s = sentences_of(block, dictionary.value)
                 ids += [i] * len(s)
                 out += s
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=["doc_id", "sentence"])
