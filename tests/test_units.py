@@ -57,3 +57,19 @@ def test_units_of_the_test_tables(spark, sf):
 
     m = p2_medians(spark, sf).groupBy("source_id").agg((F.max("median_nm") / F.min("median_nm")).alias("r"), F.count_if(F.col("unit").isNull()).alias("n"))
     assert all(r.r < 1.23 and r.n == 0 for r in m.collect())
+
+
+def test_texts_decide_what_a_source_cannot(spark):
+    """All medians of a source in one unit may mean several lengths; only its texts tell which."""
+    rows = [(b, "one", 3.0 + 0.01 * b, "ang." if b % 2 else None, "lengths in angstroms" if b == 4 else None) for b in range(10)]
+    rows += [(100 + b, "two", m, u, None) for b, (m, u) in enumerate([(0.3, "nm"), (3.0, "angstrom"), (3.1, "nm"), (0.31, None), (299.0, None)])]
+    inference = spark.createDataFrame(rows, "build_id long, source_id string, median_distance_input double, inferred_input_unit string, note string")
+    candidates = spark.createDataFrame([], "build_id long, median_input double")
+    notes = spark.createDataFrame([("one", None)], "source_id string, remark string")
+    got = {r.build_id: (r.unit, r.decided_by) for r in medians_in_nm(inference, candidates, notes).collect()}
+    assert {got[b] for b in range(1, 10, 2)} == {("angstrom", "text")} and got[4] == ("angstrom", "text") and got[0] == ("angstrom", "source")
+    assert [got[100 + b] for b in range(5)] == [("nm", "text"), ("angstrom", "text"), ("angstrom", "source"), ("nm", "source"), ("pm", "source")]
+    silent = {r.build_id: (r.unit, r.decided_by) for r in medians_in_nm(inference, candidates, notes, use_texts=False).collect()}
+    assert {silent[b] for b in range(10)} == {(None, None)} and {silent[100 + b][1] for b in range(5)} == {"source"}
+    alone = spark.createDataFrame([(1, "s", 3.0, "angstrom", None), (2, "s", 0.9, "nm", None)], inference.schema)
+    assert {r.build_id: (r.unit, r.decided_by) for r in medians_in_nm(alone, candidates, notes).collect()} == {1: ("angstrom", "text alone"), 2: ("nm", "text alone")}

@@ -29,14 +29,25 @@ def p2_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     return medians_in_nm(table(spark, sf_dir, "scale_inference"), table(spark, sf_dir, "scale_candidates"), table(spark, sf_dir, "source_notes"))
 
 
+def p2_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the medians of a source alone tell of the unit of each build, null where they tell nothing."""
+    told = medians_in_nm(table(spark, sf_dir, "scale_inference"), table(spark, sf_dir, "scale_candidates"), table(spark, sf_dir, "source_notes"), use_texts=False)
+    return told.select("build_id", "unit")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_medians(spark, sf_dir).where("unit <> 'nm'").select("build_id", "unit")
 
 
+def _rows_about(df: DataFrame) -> int:
+    """About how many rows a table of files has, by the size of the files: reading it to count them would cost as much as the sums."""
+    return max(1, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // 16)
+
+
 def _p5_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = table(spark, sf_dir, "frame_values")
     current = current_rows(values, table(spark, sf_dir, "edges"), ["n_atom_pairs"])
-    return tree_aggregate.heavy_keys(current, table(spark, sf_dir, "vertices"), values.count())
+    return tree_aggregate.heavy_keys(current, table(spark, sf_dir, "vertices"), _rows_about(values))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +58,7 @@ def p5_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of every (build, vertex1)."""
     values = table(spark, sf_dir, "frame_values")
     current = current_rows(values, table(spark, sf_dir, "edges"), ["n_atom_pairs"])
-    return tree_aggregate.tree_sum(current, ["build_id", "vertex1"], "n_atom_pairs", values.count()).withColumnRenamed("total", "n_atom_pairs_sum")
+    return tree_aggregate.tree_sum(current, ["build_id", "vertex1"], "n_atom_pairs", _rows_about(values)).withColumnRenamed("total", "n_atom_pairs_sum")
 
 
 def _p6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +77,7 @@ def p6_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("header").agg(F.count(F.lit(1)).alias("bodies"), F.sum("length").alias("bytes"), F.bool_and("size_ok").alias("sizes_ok"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_medians": p2_medians, "p5_found": p5_found, "p5_totals": p5_totals, "p6_found": p6_found, "p6_packs": p6_packs}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_medians": p2_medians, "p2_consensus": p2_consensus, "p5_found": p5_found, "p5_totals": p5_totals, "p6_found": p6_found, "p6_packs": p6_packs}
 
 
 _CURRENT = """c AS (SELECT f.*, e.vertex1, e.vertex2, row_number() OVER (PARTITION BY f.build_id, f.frame, f.edge_key ORDER BY f.written_at DESC NULLS LAST, f.row_id DESC) AS rn
@@ -85,6 +96,15 @@ i AS (SELECT *, sum(new) OVER (PARTITION BY a, field ORDER BY o, x) AS island FR
 n AS (SELECT *, count(*) OVER (PARTITION BY a, field, island) AS run FROM i)
 SELECT DISTINCT k.field, k.id AS key_id FROM k JOIN n ON k.a = n.a AND k.field = n.field AND k.o = n.o AND k.x = n.x LEFT JOIN m ON k.a = m.a AND k.field = m.field LEFT JOIN s ON k.a = s.a AND k.field = s.field
 WHERE NOT (k.z AND k.x = 0) AND (NOT isfinite(k.x) OR (NOT k.z AND (k.x < 0 OR k.x > 1)) OR abs(k.x - med) > 12 * 1.4826 * mad OR run >= 5)""",
+    "p2_consensus": """WITH i AS (SELECT build_id, max(source_id) AS source_id, max(CASE WHEN median_distance_input > 0 AND isfinite(median_distance_input) THEN median_distance_input END) AS m1 FROM scale_inference WHERE build_id IS NOT NULL GROUP BY build_id),
+g AS (SELECT build_id, max(CASE WHEN median_input > 0 AND isfinite(median_input) THEN median_input END) AS m2 FROM scale_candidates WHERE build_id IS NOT NULL GROUP BY build_id),
+b AS (SELECT coalesce(i.build_id, g.build_id) AS build_id, coalesce(source_id, '?') AS source_id, coalesce(m2, m1) AS m FROM i FULL JOIN g ON i.build_id = g.build_id),
+o AS (SELECT b.*, u.unit, ln(m * u.nm) AS l, CAST(round(ln(m * u.nm) / 0.05) AS INT) AS bin FROM b CROSS JOIN (SELECT 'nm' AS unit, 1.0 AS nm UNION ALL SELECT 'angstrom', 0.1 UNION ALL SELECT 'pm', 0.001 UNION ALL SELECT 'bohr', 0.0529177) u WHERE m IS NOT NULL),
+n AS (SELECT source_id, bin, count(*) AS w, sum(l) AS s FROM o GROUP BY source_id, bin),
+p AS (SELECT source_id, bin, sum(w) AS w, sum(s) AS s FROM (SELECT source_id, w, s, unnest(range(bin - 2, bin + 3)) AS bin FROM n) GROUP BY source_id, bin),
+t AS (SELECT source_id, bin, w, s FROM p QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY w DESC, abs(bin), bin DESC) = 1),
+z AS (SELECT t.source_id, t.s / t.w AS centre, coalesce(max(p.w), 0) < 0.999 * any_value(t.w) AS clear FROM t LEFT JOIN p ON p.source_id = t.source_id AND abs(p.bin - t.bin) > 4 GROUP BY t.source_id, t.s, t.w),
+c AS (SELECT o.build_id, arg_min(o.unit, abs(l - centre)) AS unit FROM o JOIN z ON o.source_id = z.source_id WHERE clear GROUP BY o.build_id) SELECT b.build_id, c.unit FROM b LEFT JOIN c ON b.build_id = c.build_id""",
     "p5_found": f"""WITH {_CURRENT}, t AS (SELECT build_id, sum(coalesce(n_atom_pairs, 0)) AS bt FROM w GROUP BY build_id),
 k AS (SELECT build_id, 'vertex1' AS key_field, CAST(vertex1 AS VARCHAR) AS key_value, sum(coalesce(n_atom_pairs, 0)) AS s FROM w GROUP BY build_id, vertex1
   UNION ALL SELECT build_id, 'kind', kind, sum(coalesce(n_atom_pairs, 0)) FROM w WHERE kind IS NOT NULL GROUP BY build_id, kind)
