@@ -26,7 +26,7 @@ def build_network(
     spark: SparkSession,
     topology_path: str,
     parameters_path: str,
-    trajectory: str,
+    trajectory: str | list[str],
     output: str,
     high_res: Sequence[str] = (),
     low_res: Sequence[str] = (),
@@ -38,11 +38,11 @@ def build_network(
     """Compute the network of a trajectory and write it to ``output``.
 
     The first frame must have the topology's atoms; molecules that trail behind the structure's atoms are left out. The unit of
-    the coordinates is told from the distances of excluded pairs.
+    the coordinates is told from the distances of excluded pairs, or of nearest neighbours where no pair is excluded.
     """
     nonbonded = parameters.read_nonbonded(parameters_path)
     t = parameters.read_topology(topology_path, defines).tables(spark)
-    frames = written(structure.read_structure(spark, trajectory).drop("file"), "frames")
+    frames = written(structure.read_structure(spark, trajectory).drop("file"), "frames")  # frames are numbered through all files
     n_atoms = frames.where("frame = 0").count()
     sized = t["molecules"].join(t["templates"].groupBy("molecule").agg(F.count(F.lit(1)).alias("atoms_each")), "molecule")
     entries = topology.trailing_exclusion(sized, n_atoms).select("ordinal", "molecule", "count")
@@ -54,8 +54,9 @@ def build_network(
 
     position, box = structure.positions_and_boxes(pairs.stride(frames, stride))
     pairs.check_boxes(box)
-    distances = scale.pair_distances(position.where("frame = 0"), excluded, box.where("frame = 0"))
-    unit = scale.infer_scale(distances, nonbonded.max_cutoff)
+    first, its_box = position.where("frame = 0"), box.where("frame = 0")
+    near = scale.nearest_distances(first, its_box) if excluded.isEmpty() else scale.pair_distances(first, excluded, its_box)
+    unit = scale.infer_scale(near, nonbonded.max_cutoff)
     k = F.lit(unit["scale_to_nm"])
     position = position.withColumns({a: F.col(a) * k for a in pairs.AXES})
     box = box.withColumns({f"l{a}": F.col(f"l{a}") * k for a in pairs.AXES})

@@ -62,8 +62,9 @@ class Network:
         return regions.residue_keys(self.vertices, self.spark.createDataFrame([(int(v),) for v in vertex_ids], "vertex_id long"))
 
     def edge_values(self, value: str = "vdw+cl", normalization: str = "none", frames: Sequence[int] | None = None, columns: Sequence[str] = ()) -> DataFrame:
-        E.require_known_edges(self.values, self.edges)
-        return E.edge_values(self.values, self.edges, self.vertices, self.members, value, normalization, list(frames) if frames is not None else None, list(columns))
+        values = self.values if frames is None else source.read_values(self.spark, self.path, list(frames), self.metadata.get("frames_per_part"))
+        E.require_known_edges(values, self.edges)
+        return E.edge_values(values, self.edges, self.vertices, self.members, value, normalization, None, list(columns))
 
     def edge_summary(self, value: str = "vdw+cl", normalization: str = "none") -> DataFrame:
         return E.edge_summary(self.edge_values(value, normalization))

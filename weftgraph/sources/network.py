@@ -6,11 +6,13 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftgraph import schema
 from weftgraph.errors import NetworkError
 
 FORMAT = "weftgraph_network_v1"
+MAX_FILE_ROWS = 20_000_000
 
 
 def _fs(spark: SparkSession, path: str):
@@ -46,14 +48,20 @@ def read_edges(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema.EDGES).parquet(f"{path}/edges.parquet")
 
 
-def read_values(spark: SparkSession, path: str) -> DataFrame:
-    """The value table; a filter on frame_bucket or frame prunes parts."""
-    return spark.read.schema(schema.VALUES).option("recursiveFileLookup", "true").parquet(f"{path}/values")
+def read_values(spark: SparkSession, path: str, frames: list[int] | None = None, frames_per_part: int | None = None) -> DataFrame:
+    """The value table, or its rows of some frames; with ``frames_per_part`` the parts without them are not read."""
+    stored = spark.read.schema(T.StructType([*schema.VALUES.fields, T.StructField("frame_bucket", T.IntegerType())])).parquet(f"{path}/values")
+    if frames is not None:
+        wanted = [int(f) for f in frames]
+        stored = stored.where(F.col("frame").isin(*wanted))
+        if frames_per_part:
+            stored = stored.where(F.col("frame_bucket").isNull() | F.col("frame_bucket").isin(*sorted({f // frames_per_part for f in wanted})))
+    return stored.drop("frame_bucket")
 
 
 def write_network(path: str, vertices: DataFrame, members: DataFrame, values: DataFrame, edges: DataFrame | None = None, frames_per_part: int = 10, metadata: dict | None = None) -> None:
-    """Write a network, replacing what is there. Values go to one folder per ``frames_per_part`` frames, sorted by frame and edge
-    so that scans of some frames skip the rest. Without ``edges`` the dictionary comes from the values written."""
+    """Write a network, replacing what is there. Values go to one file per ``frames_per_part`` frames, more only beyond
+    ``MAX_FILE_ROWS`` rows, sorted by frame and edge, so that scans of some frames skip the rest. Without ``edges`` the dictionary comes from the values written."""
     from weftgraph.operators.edges import edge_dictionary
 
     spark = vertices.sparkSession
@@ -66,10 +74,11 @@ def write_network(path: str, vertices: DataFrame, members: DataFrame, values: Da
     bucket = F.floor(F.col("frame") / frames_per_part).cast("int")
     (
         values.withColumn("frame_bucket", bucket)
-        .repartition("frame_bucket", F.pmod("frame", F.lit(max(1, frames_per_part))))
+        .repartition("frame_bucket")
         .sortWithinPartitions("frame_bucket", "frame", "edge_key")
         .write.mode("overwrite")
         .option("compression", "zstd")
+        .option("maxRecordsPerFile", MAX_FILE_ROWS)
         .partitionBy("frame_bucket")
         .parquet(f"{path}/values")
     )

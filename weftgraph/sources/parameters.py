@@ -89,21 +89,23 @@ class Topology:
         }
 
 
-def topology_lines(path: str | Path, defines: set[str] | None = None, seen: set[Path] | None = None) -> list[str]:
-    """Lines without comments, with includes in their place (each file once) and #ifdef, #ifndef, #else and #endif obeyed."""
-    path, defines, seen = Path(path).resolve(), defines if defines is not None else set(), seen if seen is not None else set()
+def topology_lines(path: str | Path, defines: set[str] | None = None, seen: set[Path] | None = None) -> list[tuple[str, bool]]:
+    """Lines without comments and whether they stand in the file itself, with includes in their place (each file once) and #ifdef, #ifndef,
+    #else and #endif obeyed."""
+    path, defines, own = Path(path).resolve(), defines if defines is not None else set(), seen is None
+    seen = seen if seen is not None else set()
     if path in seen:
         return []
     if not path.exists():
         raise TopologyError(f"included file {path} does not exist")
     seen.add(path)
-    out: list[str] = []
+    out: list[tuple[str, bool]] = []
     live = [True]
     for raw in path.read_text(errors="replace").splitlines():
         line = raw.split(";", 1)[0].strip()
         if not line.startswith("#"):
             if line and live[-1]:
-                out.append(line)
+                out.append((line, own))
             continue
         word, _, rest = line[1:].strip().partition(" ")
         rest = rest.strip()
@@ -121,11 +123,11 @@ def topology_lines(path: str | Path, defines: set[str] | None = None, seen: set[
 
 
 def read_topology(path: str | Path, defines: set[str] | None = None) -> Topology:
-    """The topology of a system. Equal molecule names: the last with atoms counts. Lines that cannot be read are left out of
-    type sections and are errors elsewhere."""
+    """The topology of a system. Equal molecule names: the last with atoms counts. [molecules] of included files is none of the system.
+    Lines that cannot be read are left out of type sections and are errors elsewhere."""
     top = Topology()
     section, molecule = "", ""
-    for line in topology_lines(path, set(defines or ())):
+    for line, own in topology_lines(path, set(defines or ())):
         if m := re.match(r"\[\s*([^\]]+?)\s*\]", line):
             section = m[1].lower()
             continue
@@ -136,7 +138,7 @@ def read_topology(path: str | Path, defines: set[str] | None = None) -> Topology
                 for rows in (top.atoms, top.bonds, top.exclusions, top.pairs):
                     rows[:] = [r for r in rows if r[0] != molecule]
                 top.nrexcl[molecule] = int(f[1])
-            elif section == "atoms" and len(f) >= 7:
+            elif section == "atoms":
                 top.atoms.append((molecule, int(f[0]), int(f[2]), f[3], f[4], f[1], float(f[6])))
             elif section in ("bonds", "constraints"):
                 top.bonds.append((molecule, int(f[0]), int(f[1])))
@@ -144,10 +146,10 @@ def read_topology(path: str | Path, defines: set[str] | None = None) -> Topology
                 top.pairs.append((molecule, int(f[0]), int(f[1])))
             elif section == "exclusions":
                 top.exclusions += [(molecule, int(f[0]), int(j)) for j in f[1:]]
-            elif section == "molecules":
+            elif section == "molecules" and own:
                 top.molecules.append((len(top.molecules), f[0], int(f[1])))
-            elif section == "atomtypes" and len(f) >= 6:
-                top.types[f[0]] = _parameters(f) or top.types.get(f[0], (0.0, 0.0))
+            elif section == "atomtypes" and len(f) >= 6 and _parameters(f):
+                top.types[f[0]] = _parameters(f)
             elif section == "nonbond_params" and len(f) >= 5 and _parameters(f):
                 top.nonbonded[tuple(sorted(f[:2]))] = _parameters(f)
         except (ValueError, IndexError):
