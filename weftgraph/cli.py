@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from weftgraph import __version__
 from weftgraph.build import build_network
 from weftgraph.errors import NetworkError
+from weftgraph.functions.selectors import SELECTOR_HELP
 from weftgraph.functions.values import NORMALIZATIONS, VALUE_COLUMNS
 from weftgraph.network import load_network
 from weftgraph.operators import edges as E
-from weftgraph.operators import info, neighbors, paths, viewer
+from weftgraph.operators import info, neighbors, paths, regions, viewer
 from weftgraph.session import written
 from weftgraph.sources import structure, tsv
 
@@ -41,7 +42,7 @@ def parser() -> argparse.ArgumentParser:
     b = commands.add_parser("build", help="compute a network from topology, parameters and coordinates")
     b.add_argument("-p", "--topology", required=True)
     b.add_argument("-f", "--mdp", required=True)
-    b.add_argument("-t", "--trajectory", required=True, help="GRO, PDB or XYZ files, also as a pattern")
+    b.add_argument("-t", "--trajectory", required=True, nargs="+", help="GRO, PDB or XYZ files, also as patterns; frames go on from file to file")
     b.add_argument("-o", "--output", required=True)
     b.add_argument("--stride", type=int, default=1)
     b.add_argument("--frames-per-part", type=int, default=10)
@@ -69,6 +70,8 @@ def parser() -> argparse.ArgumentParser:
             _ends(p, "exclude")
         if name in ("shortest_path", "neighbors"):
             p.add_argument("--target", metavar="SELECTOR")
+            p.add_argument("--molecule-delimiter-min-size", type=float, default=float("inf"), help="mark the borders of molecules with at least so many residues")
+            p.add_argument("--renumber-molecule-residues", action="store_true", help="count residues from 1 in each molecule")
         if name == "neighbors":
             p.add_argument("--neighbor-summary", choices=neighbors.SUMMARIES, default="mean_abs")
             p.add_argument("--split-excluded", action="store_true")
@@ -76,10 +79,12 @@ def parser() -> argparse.ArgumentParser:
         if name == "rave":
             p.add_argument("--region", action="append", required=True, metavar="SELECTOR")
             p.add_argument("--region-label", action="append", default=[])
+            p.add_argument("--pair-layout", choices=("auto", "overlay", "adjacent"), default="auto", help="auto: overlay where the residue names of two regions agree")
         if name == "vmd":
             p.add_argument("-s", "--structure", required=True)
             p.add_argument("--radius-mode", choices=("linear", "sqrt", "log"), default="log")
             p.add_argument("--radius-scale", type=float, default=0.05)
+            p.add_argument("--bead-radius", type=float, default=0.25)
             p.add_argument("--coordinate-unit", choices=("auto", "nm", "angstrom"), default="auto")
     return root
 
@@ -94,6 +99,7 @@ def _info(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.selector:
         for field, found in info.selector_inventory(net.vertices, None if args.long else info.INVENTORY).items():
             print(f"{field}: {', '.join('-'.join(map(str, v)) if field.endswith('_id') else f'{v[0]} ({v[1]})' for v in found)}")
+        print(SELECTOR_HELP)
         print("\n".join(info.selector_examples(net.vertices)))
     if args.list or not args.selector:
         for k, v in net.summary().items():
@@ -108,17 +114,24 @@ def profile(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     net = load_network(spark, args.input)
     if args.plot == "rave":
         r = net.region_interactions(args.region, args.region_label or None, args.value, args.normalize)
-        r = r.withColumns({"value_name": F.lit(args.value), "normalization": F.lit(args.normalize)})
+        layout = F.lit(args.pair_layout)
+        if args.pair_layout == "auto":
+            chosen = regions.resolve_regions(net.vertices, args.region, args.region_label or None)
+            pairs = regions.pair_layout(chosen, net.vertices)
+            both = pairs.toDF("source_region", "target_region", "layout").unionByName(pairs.toDF("target_region", "source_region", "layout"))
+            r, layout = r.join(both, ["source_region", "target_region"]), F.col("layout")
+        r = r.withColumns({"value_name": F.lit(args.value), "normalization": F.lit(args.normalize), "layout": layout})
         return r.orderBy("source_region", "target_region", "residue_index", "frame")
     a = net.edge_analysis(args.value, args.normalize, _chosen(args, "exclude") if args.plot != "neighbors" else None, args.min_abs_value, args.min_abs_percentile, args.max_edges)
+    axis = args.molecule_delimiter_min_size, args.renumber_molecule_residues
     if args.plot == "neighbors":
         options = {"summary": args.neighbor_summary, "target": args.target, "excluded": _chosen(args, "exclude"), "removed": _chosen(args, "remove"), "split_excluded": args.split_excluded}
         said = {"value_name": args.value, "normalization": args.normalize, "neighbor_summary": args.neighbor_summary, "target_selector": args.target or "", "split_excluded": args.split_excluded}
-        return net.neighbor_profile(a, **options).withColumns({k: F.lit(v) for k, v in said.items()})
+        return neighbors.axis_columns(net.neighbor_profile(a, **options).withColumns({k: F.lit(v) for k, v in said.items()}), *axis).orderBy(*neighbors.residue_order("category"))
     m = written(net.path_metrics(a, args.value, args.target), "paths")
     detail = paths.high_res_profile(m, net.vertices).withColumn("target_selector", F.lit(args.target or "")).orderBy("plot_index")
     tsv.write_tsv(detail, f"{args.output}.high_res", 12)
-    return paths.path_profile(m, net.vertices).withColumn("target_selector", F.lit(args.target or "")).orderBy(*neighbors.residue_order())
+    return neighbors.axis_columns(paths.path_profile(m, net.vertices).withColumn("target_selector", F.lit(args.target or "")), *axis).orderBy(*neighbors.residue_order())
 
 
 def _vmd(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -128,10 +141,8 @@ def _vmd(spark: SparkSession, args: argparse.Namespace) -> None:
     centers = viewer.to_angstrom(viewer.vertex_centers(net.members, first.select("atom_index", "x", "y", "z", "mass")), args.coordinate_unit)
     viewer.check_centers(net.vertices, net.members, n_atoms, centers)
     a = net.edge_analysis(args.value, args.normalize, _chosen(args, "exclude"), args.min_abs_value, args.min_abs_percentile, args.max_edges)
-    viewer.write_lines(viewer.bead_lines(net.vertices, centers), "vertex_id", f"{args.output}/beads.pdb")
-    viewer.write_lines(viewer.draw_lines(viewer.drawn_edges(a, centers, args.radius_mode, args.radius_scale)), "edge_key", f"{args.output}/edges.tcl")
+    viewer.write_viewer(net.vertices, centers, a, args.output, args.radius_mode, args.radius_scale, args.bead_radius)
     a.write.mode("overwrite").option("compression", "zstd").parquet(f"{args.output}/edge_summary.parquet")
-    tsv.write_tsv(net.vertices.select("vertex_id", "label", "kind"), f"{args.output}/labels.tsv")
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:

@@ -237,3 +237,12 @@ def selector_label(selector: str, most: int = 48) -> str:
     """A selector short enough for a label."""
     s = selector.strip()
     return s if len(s) <= most else s[: most - 3] + "..."
+
+
+# Fixed value: what a user reads about selectors of vertices.
+SELECTOR_HELP = """A selector is a boolean expression over the fields of the vertex table.
+fields: vertex_id/id, label, kind, residue_name/resname, residue_id/resid, molecule_type/moltype,
+  molecule_instance/molinstance, atom_name/name, atom_type/type, atom_nr/bynum, charge, members
+operators: and, or, not, brackets, ==, !=, <, <=, >, >=, in, ranges of integers A-B
+such as: molinstance 0 | resname ARG and resid 76 | resid 76-80 and molecule_instance 0
+  kind atom and resname ARG | resname in POPC,POPE,POPS | not kind bundle"""

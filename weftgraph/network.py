@@ -6,10 +6,12 @@ from collections.abc import Sequence
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftgraph.functions.selectors import vertex_condition
 from weftgraph.operators import edges as E
 from weftgraph.operators import info, neighbors, paths, regions
+from weftgraph.operators.percentile import numbered
 from weftgraph.sources import network as source
 from weftgraph.sources import tsv
 
@@ -104,14 +106,31 @@ class Table:
     def columns(self) -> list[str]:
         return self.df.columns
 
-    def __len__(self) -> int:
+    @property
+    def n_rows(self) -> int:
         return self.df.count()
 
+    def __len__(self) -> int:
+        return self.n_rows
+
+    def column(self, name: str) -> DataFrame:
+        if name not in self:
+            raise KeyError(name)
+        return self.df.select(name)
+
+    def get(self, name: str, default: object = None) -> object:
+        return self.column(name) if name in self else default
+
+    def take(self, places: Sequence[int], order: Sequence[str]) -> Table:
+        """The rows at these places, from 0, in the order of the columns ``order``: rows of a DataFrame have no order of their own."""
+        at = numbered(self.df, [F.asc_nulls_first(c) for c in order], "_row")
+        return Table(at.where(F.col("_row").isin(*[int(p) for p in places])).drop("_row"), self.metadata)
+
     def __contains__(self, name: str) -> bool:
         return name in self.df.columns
 
     def __getitem__(self, name: str) -> DataFrame:
-        return self.df.select(name)
+        return self.column(name)
 
     def __repr__(self) -> str:
         return f"Table({', '.join(self.columns)})"

@@ -54,15 +54,37 @@ def quoted(value: str) -> str:
 
 
 def selector_examples(vertices: DataFrame) -> list[str]:
-    """Selectors that match something in this network: commonest kind, residue names, longest run of residues, widest molecule."""
+    """Selectors that match something in this network, for each field what is there: single values and lists, a residue by name and id, a
+    run of residues and two residue names within the molecule that has most, all but bundles, and a range of vertices."""
+
+    def values(field: str, n: int) -> list[str]:
+        counts = field_counts(vertices, field)
+        order = [F.col("value").cast("long")] if field == "molecule_instance" else [F.desc("n"), F.asc("value")]
+        return [quoted(r.value) for r in counts.orderBy(*order).limit(n).collect()]
+
     out = []
-    if kind := kind_counts(vertices).first():
-        out.append(f"kind {quoted(kind.kind)}")
-    names = field_counts(vertices, "residue_name").limit(2).collect()
-    out += [f"resname {quoted(r.value)}" for r in names[:1]]
-    if len(names) == 2:
-        out.append(f"resname in {quoted(','.join(r.value for r in names))}")
-    runs = contiguous_ranges(vertices.where("molecule_instance IS NOT NULL"), "residue_id", ["molecule_type", "molecule_instance"])
-    if run := runs.orderBy(F.desc("n"), "molecule_type", "molecule_instance", "first").first():
-        out.append(f"moltype {quoted(run.molecule_type)} and molinstance {run.molecule_instance} and resid {run['first']}-{min(run['last'], run['first'] + 19)}")
-    return out
+    for field, name, listed in (("molecule_instance", "molecule_instance", 3), ("molecule_type", "molecule_type", 2), ("residue_name", "resname", 3), ("kind", "kind", 2)):
+        found = values(field, listed)
+        out += [f"{name} {v}" for v in found[:1]]
+        if len(found) == listed:
+            out.append(f"{name} in {','.join(found)}")
+    named = vertices.where("residue_id IS NOT NULL AND trim(residue_name) <> ''")
+    if first := named.orderBy("vertex_id").first():
+        out.append(f"resname {quoted(first.residue_name)} and resid {first.residue_id}")
+    inside = vertices.where("molecule_instance IS NOT NULL AND residue_id IS NOT NULL").select("molecule_instance", "residue_id").distinct()
+    most = inside.groupBy("molecule_instance").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "molecule_instance").first()
+    if most:
+        runs = contiguous_ranges(inside.where(F.col("molecule_instance") == most.molecule_instance), "residue_id").where("n > 1")
+        if run := runs.orderBy(F.desc("n"), "first").first():
+            out.append(f"molecule_instance {most.molecule_instance} and resid {run['first']}-{min(run['last'], run['first'] + 19)}")
+    names = vertices.where("molecule_instance IS NOT NULL AND trim(residue_name) <> ''").groupBy("molecule_instance", "residue_name").agg(F.count(F.lit(1)).alias("n"))
+    mixed = names.groupBy("molecule_instance").agg(F.count(F.lit(1)).alias("k")).where("k > 1").orderBy(F.desc("k"), "molecule_instance").first()
+    if mixed:
+        a, b = (quoted(r.residue_name) for r in names.where(F.col("molecule_instance") == mixed.molecule_instance).orderBy(F.desc("n"), "residue_name").limit(2).collect())
+        out.append(f"(resname {a} or resname {b}) and molecule_instance {mixed.molecule_instance}")
+    if not vertices.where("kind = 'bundle'").isEmpty():
+        out.append("not kind bundle")
+    ids = [r.vertex_id for r in vertices.select("vertex_id").distinct().orderBy("vertex_id").limit(10).collect()]
+    if len(ids) > 1:
+        out.append(f"vertex_id {ids[0]}-{ids[-1]}")
+    return list(dict.fromkeys(out))

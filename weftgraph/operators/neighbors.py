@@ -9,6 +9,7 @@ from weftgraph.errors import SelectorError
 from weftgraph.functions.selectors import vertex_condition
 from weftgraph.functions.values import finite
 from weftgraph.operators.edges import Ends
+from weftgraph.operators.percentile import numbered, running_sum
 
 # Names of the summaries, with other spellings.
 SUMMARIES = ("mean", "mean_abs", "sum", "sum_abs", "median", "median_abs")
@@ -112,17 +113,37 @@ def compressed_axis(residues: DataFrame, by: list[str] | None = None, gap: int =
     """
     by = by or []
     rows = residues.select(*by, *RESIDUE).distinct()
-    along = Window.partitionBy(*by).orderBy(*residue_order())
     molecule = Window.partitionBy(*by, "molecule_type", "molecule_instance").orderBy("residue_id")
     missing = F.col("residue_id") - F.lag("residue_id").over(molecule) - 1
     rows = rows.withColumns({"is_jump": F.coalesce(missing > gap, F.lit(False)), "index_in_molecule": F.row_number().over(molecule)})
-    rows = rows.withColumn("block_start", F.col("index_in_molecule") == 1)
-    return rows.withColumn("position", F.sum(F.when(F.col("is_jump"), 2).otherwise(1)).over(along.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    rows = rows.withColumns({"block_start": F.col("index_in_molecule") == 1, "_step": F.when(F.col("is_jump"), 2).otherwise(1)})
+    if by:
+        along = Window.partitionBy(*by).orderBy(*residue_order()).rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn("position", F.sum("_step").over(along))
+    else:
+        rows = running_sum(rows, residue_order(), "_step", "position")
+    return rows.withColumn("position", F.col("position") - 1).drop("_step")
+
+
+def axis_columns(profile: DataFrame, delimiter_min_size: float = float("inf"), renumber: bool = False) -> DataFrame:
+    """A profile of residues with what its axis shows: axis_residue_id (with ``renumber`` counted from 1 in each molecule) and
+    molecule_border, true for the first residue of a molecule of at least ``delimiter_min_size`` residues."""
+    molecule = ["molecule_type", "molecule_instance"]
+    places = profile.select(*RESIDUE).distinct()
+    w = Window.partitionBy(*molecule)
+    places = places.withColumns({"_n": F.dense_rank().over(w.orderBy("residue_id")), "_size": F.count(F.lit(1)).over(w)})
+    shown = F.col("_n") if renumber else F.col("residue_id")
+    places = places.select(*RESIDUE, shown.cast("int").alias("axis_residue_id"), ((F.col("_n") == 1) & (F.col("_size") >= F.lit(delimiter_min_size))).alias("molecule_border"))
+    same = F.expr(" AND ".join(f"p.{c} <=> a.{c}" for c in RESIDUE))
+    return profile.alias("p").join(places.alias("a"), same).select("p.*", "axis_residue_id", "molecule_border")
 
 
 def contiguous_ranges(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
     """Runs of successive integers: first, last and n of each."""
     by = by or []
-    w = Window.partitionBy(*by).orderBy(column)
     rows = df.select(*by, column).where(F.col(column).isNotNull()).distinct()
-    return rows.withColumn("_run", F.col(column) - F.row_number().over(w)).groupBy(*by, "_run").agg(F.min(column).alias("first"), F.max(column).alias("last"), F.count(F.lit(1)).alias("n")).drop("_run")
+    if by:
+        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(column)))
+    else:
+        rows = numbered(rows, [F.col(column)], "_n")
+    return rows.withColumn("_run", F.col(column) - F.col("_n")).groupBy(*by, "_run").agg(F.min(column).alias("first"), F.max(column).alias("last"), F.count(F.lit(1)).alias("n")).drop("_run")

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,12 +13,14 @@ from weftgraph.errors import SelectorError
 from weftgraph.functions.selectors import vertex_condition
 from weftgraph.functions.values import finite, graph_distance
 from weftgraph.operators.neighbors import both_directions, residue_profile
+from weftgraph.operators.percentile import numbered
 from weftgraph.session import written
 
 EPSILON = 2.220446049250313e-16
-#: Directed arcs of one network that a single task may hold for its searches.
+#: Directed arcs of one network that a single task may hold for its searches; sources that share one copy of them, and distances that are
+#: relaxed at a time.
 MAX_TASK_ARCS = 1_000_000
-SOURCES_PER_TASK = 64
+SOURCES_PER_TASK, DISTANCES_AT_ONCE = 1024, 4_000_000
 
 
 def distance_graph(analysis: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
@@ -31,17 +32,32 @@ def distance_graph(analysis: DataFrame, value: str, by: list[str] | None = None)
     return both_directions(rows).groupBy(*by, "source", "target").agg(F.min("distance").alias("distance"))
 
 
-def _dijkstra(arcs: dict[int, list[tuple[int, float]]], source: int) -> dict[int, float]:
-    best, queue = {source: 0.0}, [(0.0, source)]
-    while queue:
-        d, v = heapq.heappop(queue)
-        if d > best[v]:
-            continue
-        for w, length in arcs.get(v, ()):
-            if d + length < best.get(w, float("inf")):
-                best[w] = d + length
-                heapq.heappush(queue, (d + length, w))
-    return best
+def _reached(source: np.ndarray, target: np.ndarray, length: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each start the vertices it reaches, itself left out, and their distances.
+
+    Distances of many starts are relaxed together over all arcs, sorted by target, until none improves; lengths are positive, so this
+    ends after as many rounds as the longest shortest path has arcs.
+    """
+    names, code = np.unique(np.concatenate([source, target, starts]), return_inverse=True)
+    a, b, s = np.split(code, [len(source), 2 * len(source)])
+    order = np.argsort(b, kind="stable")
+    a, b, w = a[order], b[order], length[order]
+    first = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.empty(0, int)
+    ends = b[first]
+    step = max(1, DISTANCES_AT_ONCE // max(len(names), len(a), 1))
+    for k in range(0, len(s), step):
+        block = s[k : k + step]
+        best = np.full((len(block), len(names)), np.inf)
+        best[np.arange(len(block)), block] = 0.0
+        while len(ends):
+            new = np.minimum(np.minimum.reduceat(best[:, a] + w, first, axis=1), best[:, ends])
+            if (new == best[:, ends]).all():
+                break
+            best[:, ends] = new
+        for row, own in zip(best, block, strict=True):
+            row[own] = np.inf
+            found = np.flatnonzero(row < np.inf)
+            yield int(names[own]), names[found], row[found]
 
 
 def _prepared(graph: DataFrame, sources: DataFrame | None, by: list[str]) -> tuple[tuple[DataFrame, DataFrame] | None, tuple[DataFrame, DataFrame] | None]:
@@ -68,7 +84,7 @@ def shortest_distances(graph: DataFrame, sources: DataFrame | None = None, by: l
     by = by or []
     small, large = _prepared(graph, sources, by)
     schema = _schema(graph, [*by, "source", "target"]) + ", distance double"
-    found = [_searched(*small, by, schema, lambda v, found: [(v, w, d) for w, d in found])] if small else []
+    found = [_searched(*small, by, schema, lambda v, reached, d: [(v, w, x) for w, x in zip(reached.tolist(), d.tolist(), strict=True)])] if small else []
     if large:
         found.append(relaxed_distances(*large, by))
     return found[0] if len(found) == 1 else found[0].unionByName(found[1])
@@ -81,11 +97,8 @@ def vertex_path_metrics(graph: DataFrame, by: list[str] | None = None) -> DataFr
     small, large = _prepared(graph, None, by)
     schema = _schema(graph, by) + ", " * bool(by) + "vertex_id int, reachable_vertices long, mean_shortest_path double, median_shortest_path double, min_shortest_path double, max_shortest_path double"
 
-    def stats(v: int, found: list[tuple[int, float]]) -> list[tuple]:
-        if not found:
-            return []
-        d = np.array([x for _, x in found])
-        return [(v, len(d), d.mean(), np.median(d), d.min(), d.max())]
+    def stats(v: int, reached: np.ndarray, d: np.ndarray) -> list[tuple]:
+        return [(v, len(d), d.mean(), np.median(d), d.min(), d.max())] if len(d) else []
 
     found = [_searched(*small, by, schema, stats)] if small else []
     if large:
@@ -97,8 +110,9 @@ def _schema(graph: DataFrame, columns: list[str]) -> str:
     return ", ".join(f"{c} {graph.schema[c].dataType.simpleString()}" for c in columns)
 
 
-def _searched(graph: DataFrame, starts: DataFrame, by: list[str], schema: str, rows_of: Callable[[int, list[tuple[int, float]]], list[tuple]]) -> DataFrame:
-    """One group per network and block of sources; a group holds its network's arcs once and its block of sources."""
+def _searched(graph: DataFrame, starts: DataFrame, by: list[str], schema: str, rows_of: Callable[[int, np.ndarray, np.ndarray], list[tuple]]) -> DataFrame:
+    """One group per network and block of sources; a group holds its network's arcs once and its block of sources, so the arcs are copied
+    once for every ``SOURCES_PER_TASK`` sources."""
     block = F.pmod(F.xxhash64("source"), F.col("blocks").cast("long")).alias("block")
     blocks = starts.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / SOURCES_PER_TASK).cast("int").alias("blocks"))
     if by:
@@ -110,13 +124,10 @@ def _searched(graph: DataFrame, starts: DataFrame, by: list[str], schema: str, r
     g = g.select(*by, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"), "source", "target", "distance")
 
     def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        arcs: dict[int, list[tuple[int, float]]] = {}
-        from_here = pdf.loc[pdf["target"].isna(), "source"]
-        real = pdf[pdf["target"].notna()]
-        for a, b, d in zip(real["source"].tolist(), real["target"].tolist(), real["distance"].tolist(), strict=True):
-            arcs.setdefault(int(a), []).append((int(b), d))
-        out = [(*key[:-1], *row) for v in from_here.tolist() for row in rows_of(int(v), [(w, d) for w, d in _dijkstra(arcs, int(v)).items() if w != v])]
-        return pd.DataFrame(out, columns=names)
+        real = pdf["target"].notna()
+        arcs, starts = pdf[real], pdf.loc[~real, "source"].to_numpy(np.int64)
+        found = _reached(arcs["source"].to_numpy(np.int64), arcs["target"].to_numpy(np.int64), arcs["distance"].to_numpy(float), starts)
+        return pd.DataFrame([(*key[:-1], *row) for v, reached, d in found for row in rows_of(v, reached, d)], columns=names)
 
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
     return s.unionByName(g).groupBy(*by, "block").applyInPandas(search, schema)
@@ -178,8 +189,10 @@ def high_res_profile(metrics: DataFrame, vertices: DataFrame, by: list[str] | No
     """Path metrics of atom vertices in order, with plot_index from 0."""
     by = by or []
     rows = metrics.join(vertices.where("kind = 'atom'").select("vertex_id", "molecule_type", "molecule_instance", "residue_id", "residue_name", "atom_nr", "atom_name", "label"), "vertex_id")
-    w = Window.partitionBy(*by).orderBy("molecule_type", F.asc_nulls_last("molecule_instance"), F.asc_nulls_last("residue_id"), F.asc_nulls_last("atom_nr"), "vertex_id")
-    return rows.withColumn("plot_index", F.row_number().over(w) - 1)
+    order = [F.col("molecule_type"), F.asc_nulls_last("molecule_instance"), F.asc_nulls_last("residue_id"), F.asc_nulls_last("atom_nr"), F.col("vertex_id")]
+    if not by:
+        return numbered(rows, order, "plot_index").withColumn("plot_index", F.col("plot_index").cast("int"))
+    return rows.withColumn("plot_index", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
 
 
 def path_statistics(metrics: DataFrame, vertices: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -54,4 +54,16 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     before = F.sum("_c").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))  # one row per task
     shift = sizes.select("_task", F.coalesce(before, F.lit(0)).alias("_before"))
     rows = placed.withColumn("_task", task).join(F.broadcast(shift), "_task")
-    return rows.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_task", "_at", "_before")
+    return rows.withColumn("_at", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_task", "_before").withColumnRenamed("_at", name)
+
+
+def running_sum(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """Adds ``name``, the sum of ``value`` over the rows up to each one in a global order, this one included. As ``numbered``, with sums of
+    the tasks before in place of counts; a task sums its own rows."""
+    placed = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "running")
+    rows = placed.withColumn("_task", F.shiftrightunsigned("_at", 33))
+    sums = rows.groupBy("_task").agg(F.sum(value).alias("_s"))
+    before = F.sum("_s").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))  # one row per task
+    rows = rows.join(F.broadcast(sums.select("_task", F.coalesce(before, F.lit(0)).alias("_before"))), "_task")
+    own = F.sum(value).over(Window.partitionBy("_task").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn(name, F.col("_before") + own).drop("_task", "_at", "_before")

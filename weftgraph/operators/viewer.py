@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.errors import NetworkError
 from weftgraph.functions.values import finite, radius
+from weftgraph.sources.tsv import one_file, write_tsv
 
 # First letter of the bead name of each kind.
 BEAD = {"atom": "A", "residue": "R", "low_res": "L", "bundle": "B"}
@@ -43,18 +44,23 @@ def to_angstrom(centers: DataFrame, unit: str = "auto") -> DataFrame:
     return centers.withColumns({a: F.col(a) * k for a in ("x", "y", "z")})
 
 
+# The remarks of a bead file and the commands of a loader.
+BEAD_REMARKS = ("REMARK pseudo-bead vertex centers", "REMARK coordinates are written in Angstrom", "REMARK atom serial and residue id are vertex_id + 1")
+LOADER = (
+    "set here [file dirname [info script]]", "mol new [file join $here network_beads.pdb] type pdb", "mol delrep 0 top", "mol representation VDW {radius:.4f} 12",
+    "mol color Name", "mol selection all", "mol material Opaque", "mol addrep top", "source [file join $here drawer.tcl]",
+)
+
+
 def bead_lines(vertices: DataFrame, centers: DataFrame) -> DataFrame:
-    """vertex_id and line: one PDB atom line per vertex, serials from 1."""
-    clean = F.substring(F.upper(F.regexp_replace(F.coalesce("residue_name", F.lit("")), "[^A-Za-z0-9]", "")), 1, 3)
-    name = F.when(clean == "", "VTX").otherwise(clean)
+    """vertex_id and line: one PDB atom line per vertex, whose serial and residue id are vertex_id + 1."""
+    clean = F.substring(F.upper(F.regexp_replace(F.coalesce("residue_name", F.lit("")), r"[^\p{L}\p{N}]", "")), 1, 3)
     letter = F.lit("V")
     for kind, c in BEAD.items():
         letter = F.when(F.col("kind") == kind, c).otherwise(letter)
-    bead = F.concat(letter, F.lpad(F.pmod("vertex_id", F.lit(1000)).cast("string"), 3, "0"))
-    rows = vertices.join(centers, "vertex_id")
-    resid = F.pmod(F.coalesce("residue_id", F.lit(0)), F.lit(10000))
-    line = F.format_string("HETATM%5d %4s %3s A%4d    %8.3f%8.3f%8.3f%6.2f%6.2f", F.pmod(F.col("vertex_id") + 1, F.lit(100000)), bead, name, resid, "x", "y", "z", F.lit(1.0), F.lit(0.0))
-    return rows.select("vertex_id", line.alias("line"))
+    number = (F.col("vertex_id") + 1).cast("long")
+    line = F.format_string("HETATM%5d  %s   %3s A%4d    %8.3f%8.3f%8.3f%6.2f%6.2f           X", number, letter, F.when(clean == "", "VTX").otherwise(clean), number, "x", "y", "z", F.lit(1.0), F.lit(0.0))
+    return vertices.join(centers, "vertex_id").select("vertex_id", line.alias("line"))
 
 
 def drawn_edges(analysis: DataFrame, centers: DataFrame, mode: str = "log", scale: float = 0.05) -> DataFrame:
@@ -66,11 +72,26 @@ def drawn_edges(analysis: DataFrame, centers: DataFrame, mode: str = "log", scal
 
 
 def draw_lines(edges: DataFrame) -> DataFrame:
-    """edge_key and line: the drawing commands of every edge."""
-    line = F.format_string("graphics top color %s; graphics top cylinder {%.3f %.3f %.3f} {%.3f %.3f %.3f} radius %.4f", "color", "x1", "y1", "z1", "x2", "y2", "z2", "radius")
+    """edge_key and line: the drawing commands of every edge, colour and cylinder."""
+    line = F.format_string("draw color %s\ndraw cylinder {%.3f %.3f %.3f} {%.3f %.3f %.3f} radius %.4f filled yes resolution 12", "color", "x1", "y1", "z1", "x2", "y2", "z2", "radius")
     return edges.select("edge_key", line.alias("line"))
 
 
-def write_lines(lines: DataFrame, order: str, path: str) -> None:
-    """The lines in order as text; range-partitioned, so the parts read one after the other."""
-    lines.orderBy(order).select("line").write.mode("overwrite").text(path)
+def write_lines(lines: DataFrame, order: str, path: str, head: tuple[str, ...] = (), tail: tuple[str, ...] = ()) -> None:
+    """The lines in order as one text file, as viewers read no folders, between those of ``head`` and ``tail``."""
+    spark = lines.sparkSession
+    rows = lines.select(F.lit(1).alias("part"), F.col(order).cast("long").alias("place"), "line")
+    for part, texts in ((0, head), (2, tail)):
+        if texts:
+            rows = rows.unionByName(spark.createDataFrame([(part, k, t) for k, t in enumerate(texts)], "part int, place long, line string"))
+    one_file(spark, path, lambda folder: rows.orderBy("part", "place").select("line").coalesce(1).write.text(folder))
+
+
+def write_viewer(vertices: DataFrame, centers: DataFrame, analysis: DataFrame, folder: str, mode: str = "log", scale: float = 0.05, bead_radius: float = 0.25) -> None:
+    """The files that a viewer loads: network_beads.pdb with its labels, drawer.tcl, and load.tcl, which loads both."""
+    write_lines(bead_lines(vertices, centers), "vertex_id", f"{folder}/network_beads.pdb", BEAD_REMARKS, ("END",))
+    write_tsv(vertices.select("vertex_id", "label").orderBy("vertex_id"), f"{folder}/network_beads.labels.tsv")
+    about = ("# coordinates are in Angstrom, matching network_beads.pdb", f"# radius_mode = {mode}", f"# radius_scale = {scale:g}", "draw delete all", "draw materials on")
+    write_lines(draw_lines(drawn_edges(analysis, centers, mode, scale)), "edge_key", f"{folder}/drawer.tcl", about)
+    loader = tuple(c.format(radius=bead_radius) for c in LOADER)
+    write_lines(vertices.sparkSession.createDataFrame([], "place long, line string"), "place", f"{folder}/load.tcl", loader)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import cache
@@ -33,15 +35,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @cache
 def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="spark-")
+    root = tempfile.mkdtemp(prefix="spark-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below the shared checkpoint folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) a temporary folder is made, one for each process.
+    Only where that setting is absent on one machine (tests) a temporary folder is made, one for each process; on a cluster, whose
+    executors would each see a folder of their own, its absence is an error.
     """
-    root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir() or _own_folder()
+    root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
+        root = _own_folder()
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
