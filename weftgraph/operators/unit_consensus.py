@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph.functions.units import Unit, parse_unit, unit_in_text
-from weftgraph.session import broadcast_if_bounded
+from weftgraph.session import broadcast_if_bounded, written
 
 # The units a median may be in.
 UNITS = ("nm", "angstrom", "pm", "bohr")
@@ -82,7 +82,7 @@ def source_lengths(ballots: DataFrame) -> DataFrame:
     """
     bins = ballots.groupBy("source_id", F.round(F.col("log_nm") / BIN).cast("int").alias("bin")).agg(F.sum("w").alias("w"), F.sum(F.col("log_nm") * F.col("w")).alias("s"))
     near = bins.select("source_id", "w", "s", F.explode(F.sequence(F.col("bin") - REACH, F.col("bin") + REACH)).alias("bin"))
-    peaks = near.groupBy("source_id", "bin").agg(F.sum("w").alias("w"), F.sum("s").alias("s"))
+    peaks = written(near.groupBy("source_id", "bin").agg(F.sum("w").alias("w"), F.sum("s").alias("s")), "peaks")
     best = peaks.groupBy("source_id").agg(F.max_by(F.struct("s", "w", "bin"), F.struct("w", F.negative(F.abs("bin")), "bin")).alias("p"))
     other = peaks.alias("a").join(broadcast_if_bounded(best, MAX_SOURCES).alias("b"), F.expr("a.source_id <=> b.source_id")).where(F.abs(F.col("bin") - F.col("p.bin")) > 2 * REACH)
     second = other.groupBy("a.source_id").agg(F.max("w").alias("second")).select(F.col("source_id").alias("other_id"), "second", F.lit(True).alias("there"))
@@ -100,7 +100,7 @@ def medians_in_nm(inference: DataFrame, candidates: DataFrame, notes: DataFrame,
     median_nm. Builds without a source form a source of their own. Empty inputs give an empty result; other columns are
     ignored. ``use_texts=False`` leaves it all to the sources.
     """
-    builds = _builds(inference, candidates, notes, use_texts)
+    builds = written(_builds(inference, candidates, notes, use_texts), "builds")  # texts are read once, for the votes and for the builds
     lengths = {u: parse_unit(u).factor / parse_unit("nm").factor for u in UNITS}
     says = lambda c, nm: F.coalesce(F.abs(F.ln(F.col(c) / nm)) < 0.02, F.lit(False))
     votes = lambda nm: sum(F.when(says(c, nm), w).otherwise(0) for c, w in (("note_nm", 2), ("field_nm", 1), ("remark_nm", 1)))
@@ -109,7 +109,7 @@ def medians_in_nm(inference: DataFrame, candidates: DataFrame, notes: DataFrame,
     fields = lambda u, nm: F.struct(F.lit(u).alias("unit"), F.lit(nm).alias("nm"), (votes(nm) + 1).cast("long").alias("w"), F.coalesce(F.abs(F.ln(first / nm)) < 0.02, F.lit(False)).alias("stated"))
     options = F.array(*(fields(u, nm) for u, nm in lengths.items()))
     ballots = builds.where("median_input IS NOT NULL").select("build_id", "source_id", "median_input", F.inline(options)).withColumn("log_nm", F.ln(F.col("median_input") * F.col("nm")))
-    centres = broadcast_if_bounded(source_lengths(ballots), MAX_SOURCES).alias("b")
+    centres = broadcast_if_bounded(written(source_lengths(ballots), "lengths"), MAX_SOURCES).alias("b")
     away = F.abs(F.col("log_nm") - F.col("centre"))
     told = ballots.alias("a").join(centres, F.expr("a.source_id <=> b.source_id")).select("a.*", away.alias("away"))
     option = F.struct("unit", "nm")
