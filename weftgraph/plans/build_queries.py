@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.operators import pairs, resolution, scale, topology
@@ -109,30 +109,38 @@ def _energies(spark: SparkSession, sf_dir: str) -> DataFrame:
 ENERGIES = ("vdw", "coulomb", "vdw_dif", "coulomb_dif")
 
 
-def significant(df: DataFrame, digits: int, *columns: str) -> DataFrame:
-    """Columns to so many significant digits, as energies span many powers of ten; what is below 1e-9 is 0. A nudge takes halves up
-    in any engine."""
-    near = lambda c: F.when(F.abs(c) < 1e-9, 0.0).otherwise(F.format_string(f"%.{digits - 1}e", F.col(c) * (1 + 1e-12)).try_cast("double"))
+#: Bits of an energy that are compared, about six digits: energies span many powers of ten, and engines differ in the last bits of a power.
+BITS = 20
+
+
+def significant(df: DataFrame, *columns: str) -> DataFrame:
+    """Columns to ``BITS`` significant bits; what is below 1e-9 is 0."""
+
+    def near(c: str) -> Column:
+        x, scale = F.abs(c), F.pow(F.lit(2.0), BITS - F.floor(F.log2(F.abs(c))))
+        return F.when(x < 1e-9, 0.0).when(F.isnan(c), F.col(c)).otherwise(F.signum(c) * F.floor(x * scale + 0.5) / scale)
+
     return df.withColumns({c: near(c) for c in columns})
 
 
-def significant_sql(x: str, digits: int) -> str:
-    return f"CASE WHEN abs({x}) < 1e-9 THEN 0.0 ELSE TRY_CAST(printf('%.{digits - 1}e', {x} * CAST('{1 + 1e-12!r}' AS DOUBLE)) AS DOUBLE) END"
+def significant_sql(x: str) -> str:
+    scale = f"pow(2.0, {BITS} - floor(log2(abs({x}))))"
+    return f"CASE WHEN abs({x}) < 1e-9 THEN 0.0 ELSE sign({x}) * floor(abs({x}) * {scale} + 0.5) / {scale} END"
 
 
-@query("pair_energies", f"WITH {ENERGY_SQL} SELECT frame, i, j, " + ", ".join(f"{significant_sql(c, 7)} AS {c}" for c in ENERGIES) + " FROM en")
+@query("pair_energies", f"WITH {ENERGY_SQL} SELECT frame, i, j, " + ", ".join(f"{significant_sql(c)} AS {c}" for c in ENERGIES) + " FROM en")
 def pair_energies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return significant(_energies(spark, sf_dir).select("frame", "i", "j", *ENERGIES), 7, *ENERGIES)
+    return significant(_energies(spark, sf_dir).select("frame", "i", "j", *ENERGIES), *ENERGIES)
 
 
 @query(
     "frame_edge_values",
     f"WITH {ENERGY_SQL}, su AS (SELECT frame, CAST(least(vertex_id_i, vertex_id_j) AS BIGINT) * 1000000 + greatest(vertex_id_i, vertex_id_j) AS edge_key, " + ", ".join(f"CAST(CAST(sum({c}) AS FLOAT) AS DOUBLE) AS {c}" for c in ENERGIES)
-    + ", CAST(count(*) AS INT) AS n_atom_pairs FROM en GROUP BY ALL) SELECT frame, edge_key, " + ", ".join(f"{significant_sql(c, 5)} AS {c}" for c in ENERGIES) + ", n_atom_pairs FROM su",
+    + ", CAST(count(*) AS INT) AS n_atom_pairs FROM en GROUP BY ALL) SELECT frame, edge_key, " + ", ".join(f"{significant_sql(c)} AS {c}" for c in ENERGIES) + ", n_atom_pairs FROM su",
 )
 def frame_edge_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The value table as the operator makes it, with all four sums."""
-    return significant(pairs.frame_edge_values(_energies(spark, sf_dir), 1_000_000).withColumns({c: F.col(c).cast("double") for c in ENERGIES}), 5, *ENERGIES)
+    return significant(pairs.frame_edge_values(_energies(spark, sf_dir), 1_000_000).withColumns({c: F.col(c).cast("double") for c in ENERGIES}), *ENERGIES)
 
 
 # --- atoms and vertices: parts as atoms, their brands as molecules, their sizes as residues -----------------------------
