@@ -101,9 +101,9 @@ def test_viewer_lines(spark):
     v = spark.createDataFrame([(0, "atom", "ar g!", 5), (1, "bundle", None, None)], "vertex_id long, kind string, residue_name string, residue_id int")
     c = spark.createDataFrame([(0, 1.0, 2.0, 3.0), (1, 0.0, 0.0, -1.5)], "vertex_id long, x double, y double, z double")
     lines = [r.line for r in viewer.bead_lines(v, c).orderBy("vertex_id").collect()]
-    assert lines[0] == "HETATM    1 A000 ARG A   5       1.000   2.000   3.000  1.00  0.00" and lines[1][12:20] == "B001 VTX"
+    assert lines[0] == "HETATM    1  A   ARG A   1       1.000   2.000   3.000  1.00  0.00           X" and lines[1][12:26] == " B   VTX A   2"
     a = spark.createDataFrame([(7, 0, 1, -2.0), (8, 0, 1, 0.0)], "edge_key long, vertex1 int, vertex2 int, value double")
-    assert [r.line for r in viewer.draw_lines(viewer.drawn_edges(a, c)).collect()] == ["graphics top color blue; graphics top cylinder {1.000 2.000 3.000} {0.000 0.000 -1.500} radius 0.0549"]
+    assert [r.line for r in viewer.draw_lines(viewer.drawn_edges(a, c)).collect()] == ["draw color blue\ndraw cylinder {1.000 2.000 3.000} {0.000 0.000 -1.500} radius 0.0549 filled yes resolution 12"]
     assert viewer.to_angstrom(c).where("vertex_id = 0").first().x == 10.0
 
 

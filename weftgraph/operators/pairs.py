@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.errors import NetworkError
+from weftgraph.session import broadcast_if_bounded
 
 # Fixed value: Coulomb's constant in kJ nm / (mol e^2).
 COULOMB = 138.935458
 AXES = ("x", "y", "z")
+MAX_TYPE_PAIRS = 1_000_000
 
 
 def check_boxes(boxes: DataFrame) -> None:
@@ -68,6 +70,9 @@ def pairs_within(positions: DataFrame, cutoff: float, boxes: DataFrame | None =
     # of two neighbouring cells only the atoms of the lesser one go to the other, so half the copies are never shuffled
     right = right.where(F.col("home") <= F.struct(*cells)).withColumn("own", F.col("home") == F.struct(*cells))
     right = right.select("frame", *cells, "own", F.col("atom_index").alias("b"), *(F.col(x).alias(f"{x}_b") for x in AXES), *(F.col(c).alias(f"{c}_b") for c in columns))
+    # a number of partitions that is asked for stays: few bytes go in, but many pairs come out, so merged partitions would leave cores idle
+    parts = int(positions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = (side.repartition(parts, "frame", *cells) for side in (left, right))
     joined = left.join(right, ["frame", *cells]).where("NOT own OR a < b")
     square = None
     for x in AXES:
@@ -97,10 +102,11 @@ def coulomb(r: Column, charges: Column) -> tuple[Column, Column]:
 def pair_energies(pairs: DataFrame, vdw_types: DataFrame, rvdw: float, rcoulomb: float) -> DataFrame:
     """Adds vdw, coulomb, vdw_dif and coulomb_dif to pairs with type_i/j and charge_i/j. Beyond its own cut-off an energy is 0.
 
-    ``vdw_types`` has each pair of types once, type_i <= type_j.
+    ``vdw_types`` has each pair of types once, type_i <= type_j. Few types make very uneven keys, so up to ``MAX_TYPE_PAIRS`` of them
+    are broadcast rather than the pairs of atoms shuffled.
     """
     types = vdw_types.select(F.least("type_i", "type_j").alias("_a"), F.greatest("type_i", "type_j").alias("_b"), "sigma", "epsilon")
-    rows = pairs.withColumns({"_a": F.least("type_i", "type_j"), "_b": F.greatest("type_i", "type_j")}).join(types, ["_a", "_b"]).drop("_a", "_b")
+    rows = pairs.withColumns({"_a": F.least("type_i", "type_j"), "_b": F.greatest("type_i", "type_j")}).join(broadcast_if_bounded(types, MAX_TYPE_PAIRS), ["_a", "_b"]).drop("_a", "_b")
     e, de = lennard_jones(F.col("r"), F.col("sigma"), F.col("epsilon"))
     c, dc = coulomb(F.col("r"), F.col("charge_i") * F.col("charge_j"))
     near_v, near_c, zero = F.col("r") <= rvdw, F.col("r") <= rcoulomb, F.lit(0.0)
